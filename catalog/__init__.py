@@ -29,5 +29,8 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     from . import (  # noqa: F401
         fares,
+        listings,
+        overlap,
         schedules,
+        votes,
     )

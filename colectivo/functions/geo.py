@@ -107,6 +107,16 @@ def segment_segment(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return F.when(segments_cross(ax, ay, bx, by, cx, cy, dx, dy), F.lit(0.0)).otherwise(nearest)
 
 
+def boxes_within(left: str, right: str, d: float) -> Column:
+    """Cheap test before an exact one: bounding boxes of two aliased segments at most ``d`` apart."""
+
+    def apart(a1, a2):
+        l1, l2, r1, r2 = (F.col(f"{left}.{a1}"), F.col(f"{left}.{a2}"), F.col(f"{right}.{a1}"), F.col(f"{right}.{a2}"))
+        return (F.greatest(l1, l2) + d >= F.least(r1, r2)) & (F.greatest(r1, r2) + d >= F.least(l1, l2))
+
+    return apart("x1", "x2") & apart("y1", "y2")
+
+
 def bearing(lon1, lat1, lon2, lat2) -> Column:
     """Planar bearing in degrees from north, reference latitude = the first point."""
     lon1, lat1, lon2, lat2 = (_c(v) for v in (lon1, lat1, lon2, lat2))

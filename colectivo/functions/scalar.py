@@ -52,6 +52,11 @@ def edge_key_id(key: Column) -> Column:
     return F.split(key, ":").getItem(0).cast("bigint")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of either timestamp type."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def local_time(ts: Column, cfg: Schedule = Schedule()) -> Column:
     return ts + F.expr(f"INTERVAL {cfg.utc_offset_hours} HOURS")
 
@@ -74,7 +79,7 @@ def clock_text(seconds: Column) -> Column:
 
 def whole_days(later: Column, earlier: Column) -> Column:
     """Elapsed whole days, floored."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 86_400_000_000)
+    return F.floor((micros(later) - micros(earlier)) / 86_400_000_000)
 
 
 def detour_confidence(days: Column, count: Column) -> Column:

@@ -50,7 +50,7 @@ def start_gaps(starts: DataFrame, cfg: Schedule = Schedule()) -> DataFrame:
     stepped = with_previous(
         starts, ["line_id", "local_day"], ["started_at", "session_id"], ["started_at"], F.hour("local_at")
     )
-    gap = (F.unix_micros("started_at") - F.unix_micros("prev_started_at")) / 60_000_000
+    gap = (scalar.micros(F.col("started_at")) - scalar.micros(F.col("prev_started_at"))) / 60_000_000
     return stepped.withColumn("gap_min", gap).drop("prev_started_at")
 
 

@@ -184,6 +184,29 @@ class Tables:
             "l_shipdate AS created_at", "l_orderkey", "l_linenumber", "l_partkey",
         )
 
+    @cached_property
+    def edge_votes(self) -> DataFrame:
+        from colectivo.operators.votes import upsert_votes
+
+        return upsert_votes(
+            None, self.edge_vote_events, ["edge_id", "device_id"], ["created_at", "l_orderkey", "l_linenumber", "l_partkey"]
+        ).select("edge_id", "device_id", "vote", "created_at")
+
+    @cached_property
+    def route_votes(self) -> DataFrame:
+        """Each rider's votes on edges of the route it rides."""
+        return self.trace_points.where("event_id % 3 = 0").selectExpr(
+            "trace_id AS device_id", "(line_id * 10 + trace_id % 3) * 1000000 + point_index AS route_edge_id",
+            "CASE WHEN event_id % 4 = 0 THEN 'reject' ELSE 'approve' END AS vote", "ts AS created_at",
+        )
+
+    @cached_property
+    def line_vote_events(self) -> DataFrame:
+        return self.raw("orders").selectExpr(
+            "o_orderkey % 2000 AS line_id", "o_custkey AS device_id",
+            "CASE WHEN o_orderstatus = 'F' THEN 'reject' ELSE 'approve' END AS vote", "o_orderdate AS created_at", "o_orderkey",
+        )
+
     @cached_property
     def detours(self) -> DataFrame:
         return self.raw("orders").selectExpr(
@@ -214,6 +237,30 @@ def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"(2 * 6371000.0 * atan2(sqrt({a}), sqrt(1 - {a})))"
 
 
+def point_seg(px, py, ax, ay, bx, by) -> str:
+    """DuckDB text of the distance from a point to a segment."""
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    len_sq = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"(CASE WHEN {len_sq} = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {len_sq})) END)"
+    return f"sqrt(pow({px} - ({ax} + {t} * {dx}), 2) + pow({py} - ({ay} + {t} * {dy}), 2))"
+
+
+def seg_seg(l: str, r: str) -> str:
+    """DuckDB text of the distance between segments of two table aliases."""
+
+    def side(p, q, s):
+        (px, py), (qx, qy), (sx, sy) = p, q, s
+        return f"(({qx} - {px}) * ({sy} - {py}) - ({qy} - {py}) * ({sx} - {px}))"
+
+    a, b = (f"{l}.x1", f"{l}.y1"), (f"{l}.x2", f"{l}.y2")
+    c, d = (f"{r}.x1", f"{r}.y1"), (f"{r}.x2", f"{r}.y2")
+    crossing = f"({side(a, b, c)} * {side(a, b, d)} < 0 AND {side(c, d, a)} * {side(c, d, b)} < 0)"
+    ends = ", ".join(
+        [point_seg(*a, *c, *d), point_seg(*b, *c, *d), point_seg(*c, *a, *b), point_seg(*d, *a, *b)]
+    )
+    return f"(CASE WHEN {crossing} THEN 0.0 ELSE least({ends}) END)"
+
+
 # DuckDB texts of the domain tables, in dependency order.
 SQL = {
     "lines": """SELECT p_partkey AS line_id,
@@ -275,6 +322,18 @@ SQL = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "edge_votes": """SELECT edge_id, device_id, vote, created_at FROM edge_vote_events
         QUALIFY row_number() OVER (PARTITION BY edge_id, device_id ORDER BY created_at DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1""",
+    "route_votes": """SELECT trace_id AS device_id, (line_id * 10 + trace_id % 3) * 1000000 + point_index AS route_edge_id,
+        CASE WHEN event_id % 4 = 0 THEN 'reject' ELSE 'approve' END AS vote, ts AS created_at FROM trace_points WHERE event_id % 3 = 0""",
+    "line_vote_events": """SELECT o_orderkey % 2000 AS line_id, o_custkey AS device_id,
+        CASE WHEN o_orderstatus = 'F' THEN 'reject' ELSE 'approve' END AS vote, o_orderdate AS created_at, o_orderkey FROM orders""",
+    "line_votes": """SELECT line_id, device_id, vote, created_at FROM line_vote_events
+        QUALIFY row_number() OVER (PARTITION BY line_id, device_id ORDER BY created_at DESC, o_orderkey DESC) = 1""",
+    "trip_segments": """SELECT trace_id, line_id, point_index AS seg, radians(lon) * 6378137.0 AS x1, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0 AS y1,
+        radians(nlon) * 6378137.0 AS x2, ln(tan(pi() / 4 + radians(nlat) / 2)) * 6378137.0 AS y2
+        FROM (SELECT *, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat FROM trace_points WINDOW w AS (PARTITION BY trace_id ORDER BY point_index))
+        WHERE nlon IS NOT NULL""",
+    "edge_segments": """SELECT route_edge_id, route_id, line_id, sequence, radians(lon1) * 6378137.0 AS x1, ln(tan(pi() / 4 + radians(lat1) / 2)) * 6378137.0 AS y1,
+        radians(lon2) * 6378137.0 AS x2, ln(tan(pi() / 4 + radians(lat2) / 2)) * 6378137.0 AS y2 FROM route_edges""",
     "detours": """SELECT o_orderkey AS detour_id, o_custkey % 50 AS line_id, o_orderdate AS last_confirmed_at,
         1 + o_orderkey % 30 AS confirmed_count, CASE WHEN o_orderstatus = 'F' THEN 'expired' ELSE 'active' END AS status FROM orders""",
     "detour_events": "SELECT event_id, user_id AS device_id, user_id % 5 AS line_id, ts AS sent_at FROM events",
@@ -285,6 +344,7 @@ SQL = {
 NEEDS = {
     "trips": ["sessions"], "trace_edges": ["trace_points"], "edge_geometry": ["trace_edges"], "route_edges": ["trace_points"],
     "routes": ["route_edges"], "zoned_reports": ["fare_reports", "zones"], "edge_votes": ["edge_vote_events"],
+    "route_votes": ["trace_points"], "line_votes": ["line_vote_events"], "trip_segments": ["trace_points"], "edge_segments": ["route_edges"],
 }
 
 
