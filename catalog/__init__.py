@@ -28,7 +28,9 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from . import (  # noqa: F401
+        cleaning,
         fares,
+        geometry,
         listings,
         overlap,
         schedules,

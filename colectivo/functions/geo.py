@@ -243,8 +243,9 @@ SQL_FUNCTIONS = {
     "geo_offset_lat(lat DOUBLE, north_m DOUBLE)": ("DOUBLE", "lat + degrees(north_m / 6371000.0D)"),
     "geo_path_length_m(path ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>)": (
         "DOUBLE",
-        "aggregate(sequence(2, greatest(size(path), 2)), 0.0D, (acc, i) -> acc + coalesce("
-        "geo_haversine_m(path[i - 2].lon, path[i - 2].lat, get(path, i - 1).lon, get(path, i - 1).lat), 0.0D))",
+        "aggregate(sequence(2, greatest(size(path), 2)), 0.0D, (acc, i) -> acc + coalesce(2 * 6371000.0D * asin(least(1.0D, sqrt("
+        "pow(sin(radians(get(path, i - 1).lat - path[i - 2].lat) / 2), 2) + cos(radians(path[i - 2].lat)) * cos(radians(get(path, i - 1).lat))"
+        " * pow(sin(radians(get(path, i - 1).lon - path[i - 2].lon) / 2), 2)))), 0.0D))",
     ),
 }
 

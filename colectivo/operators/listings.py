@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.scalar import micros
+from ..session import snapshot
 from .ordered import with_neighbours
 from .quantiles import exact_quantiles
 
@@ -237,17 +238,17 @@ def quality_profile(points: DataFrame, keys: Sequence[str], idx: str = "point_in
     keys = list(keys)
     base = points.select(*keys, idx, micros(F.col("ts")).alias("us"), "lon", "lat", "offset_m")
     linked = with_neighbours(base, keys, idx, ["us", "lon", "lat"], before=1, after=0)
-    steps = linked.withColumns(
+    steps = snapshot(linked.withColumns(
         {
             "gap_s": F.when(F.col("us") > F.col("prev1_us"), (F.col("us") - F.col("prev1_us")) / 1e6),
             "step_m": geo.haversine("prev1_lon", "prev1_lat", "lon", "lat"),
         }
-    )
+    ))
     interval = exact_quantiles(steps, keys, "gap_s", {"interval_s": 0.5})
     timed = steps.join(interval, keys, "left")
     regular = F.when(F.col("gap_s") < 1.5 * F.col("interval_s"), F.col("gap_s"))
     dropped = F.greatest(F.lit(0.0), F.bround(F.col("gap_s") / F.col("interval_s"), 0) - 1)
-    timing = timed.groupBy(*keys).agg(
+    timing = snapshot(timed.groupBy(*keys).agg(
         F.first("interval_s").alias("interval_s"),
         F.when(F.count(regular) >= 2, F.stddev_pop(regular)).alias("jitter_s"),
         (F.sum(dropped) / (F.count("gap_s") + F.sum(dropped))).alias("missing_share"),
@@ -255,12 +256,14 @@ def quality_profile(points: DataFrame, keys: Sequence[str], idx: str = "point_in
         (F.stddev_pop("step_m") / F.avg("step_m")).alias("step_speed_cv"),
         F.regr_slope("offset_m", idx).alias("drift_per_point"),
         F.regr_intercept("offset_m", idx).alias("bias_m"),
-    )
+    ))
     residual = steps.select(*keys, idx, "offset_m").join(timing.select(*keys, "drift_per_point", "bias_m"), keys).select(
         *keys, (F.col("offset_m") - F.col("bias_m") - F.col("drift_per_point") * F.col(idx)).alias("residual")
     )
-    centre = residual.join(exact_quantiles(residual, keys, "residual", {"centre": 0.5}), keys).withColumn(
-        "far", F.abs(F.col("residual") - F.col("centre"))
+    centre = snapshot(
+        residual.join(exact_quantiles(residual, keys, "residual", {"centre": 0.5}), keys).withColumn(
+            "far", F.abs(F.col("residual") - F.col("centre"))
+        )
     )
     flagged = centre.join(exact_quantiles(centre, keys, "far", {"mad": 0.5}), keys).withColumn(
         "outlier", F.col("far") > sigmas * F.greatest(F.col("mad") * 1.4826, F.lit(1e-6))

@@ -77,31 +77,42 @@ def reach_by_doubling(links: DataFrame, starts: DataFrame, keys: Sequence[str],
 
 
 def mutual_best(
-    pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: Sequence, max_rounds: int = MAX_ROUNDS
+    pairs: DataFrame,
+    keys: Sequence[str],
+    a: str,
+    b: str,
+    score: Sequence,
+    shared_ids: bool = False,
+    max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """One-to-one choice of pairs, best score first.
 
     A pair is taken when it is the best one left for both of its members, which
     picks what a scan in score order would pick. ``score`` columns sort
-    ascending; ids break ties. A member may stand on either side.
+    ascending; ids break ties. With ``shared_ids`` both columns name the same
+    kind of member, and a member taken on one side is gone from the other.
     """
     on = list(keys)
-    rank = F.struct(*score, F.col(a), F.col(b))
-    left = snapshot(pairs.withColumn("_rank", rank))
+    tag = lambda side, col: F.concat(F.lit("n:" if shared_ids else f"{side}:"), F.col(col).cast("string"))
+    left = snapshot(
+        pairs.withColumns({"_rank": F.struct(*score, F.col(a), F.col(b)), "_na": tag("a", a), "_nb": tag("b", b)})
+    )
     chosen = None
     for _ in range(max_rounds):
         if left.isEmpty():
-            return chosen if chosen is not None else left.drop("_rank")
-        best_a = left.groupBy(*on, a).agg(F.min("_rank").alias("_best_a"))
-        best_b = left.groupBy(*on, b).agg(F.min("_rank").alias("_best_b"))
+            return (chosen if chosen is not None else left).drop("_rank", "_na", "_nb")
+        ends = left.select(*on, F.explode(F.array("_na", "_nb")).alias("_node"), "_rank")
+        best = ends.groupBy(*on, "_node").agg(F.min("_rank").alias("_best"))
+        side = lambda node, name: best.select(*on, F.col("_node").alias(node), F.col("_best").alias(name))
         taken = snapshot(
-            left.join(best_a, [*on, a])
-            .join(best_b, [*on, b])
+            left.join(side("_na", "_best_a"), [*on, "_na"])
+            .join(side("_nb", "_best_b"), [*on, "_nb"])
             .where((F.col("_rank") == F.col("_best_a")) & (F.col("_rank") == F.col("_best_b")))
             .drop("_best_a", "_best_b")
         )
-        chosen = taken.drop("_rank") if chosen is None else snapshot(chosen.unionByName(taken.drop("_rank")))
+        chosen = taken if chosen is None else snapshot(chosen.unionByName(taken))
+        used = taken.select(*on, F.explode(F.array("_na", "_nb")).alias("_na"))
         left = snapshot(
-            left.join(taken.select(*on, a), [*on, a], "left_anti").join(taken.select(*on, b), [*on, b], "left_anti")
+            left.join(used, [*on, "_na"], "left_anti").join(used.withColumnRenamed("_na", "_nb"), [*on, "_nb"], "left_anti")
         )
     raise RuntimeError(f"pairing did not settle in {max_rounds} rounds")

@@ -100,6 +100,17 @@ class Tables:
             "true AS forward",
         )
 
+    @cached_property
+    def matched_points(self) -> DataFrame:
+        """Trace points as a matcher would return them; some are unmatched, some jump."""
+        return self.trace_points.selectExpr(
+            "trace_id", "line_id", "point_index",
+            "lon", "CASE WHEN event_id % 31 = 0 THEN lat + cast(0.0006 AS double) ELSE lat END AS lat",
+            "CASE event_id % 10 WHEN 0 THEN 'unmatched' WHEN 1 THEN 'interpolated' ELSE 'matched' END AS type",
+            "CASE WHEN event_id % 31 = 0 THEN 60.0D ELSE cast(event_id % 13 AS double) END AS snap_m",
+            "accuracy", "ts", "event_id",
+        )
+
     @cached_property
     def edge_geometry(self) -> DataFrame:
         """Two-vertex shape per road edge: edge k joins lattice node k to node k+1."""
@@ -287,6 +298,9 @@ SQL = {
         FROM (SELECT user_id AS trace_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS point_index FROM events)""",
     "trace_edges": """SELECT trace_id, line_id, point_index AS seq,
         CASE WHEN event_id % 29 = 0 THEN 500000 + event_id ELSE point_index + 1000 * (trace_id % 3) END AS edge_id, true AS forward FROM trace_points""",
+    "matched_points": """SELECT trace_id, line_id, point_index, lon, CASE WHEN event_id % 31 = 0 THEN lat + CAST(0.0006 AS DOUBLE) ELSE lat END AS lat,
+        CASE event_id % 10 WHEN 0 THEN 'unmatched' WHEN 1 THEN 'interpolated' ELSE 'matched' END AS type,
+        CASE WHEN event_id % 31 = 0 THEN 60.0 ELSE CAST(event_id % 13 AS DOUBLE) END AS snap_m, accuracy, ts, event_id FROM trace_points""",
     "edge_geometry": """SELECT edge_id, CAST(-66.20 AS DOUBLE) + CAST(0.00094 AS DOUBLE) * k AS lon1,
         CAST(-17.39 AS DOUBLE) + CAST(0.0027 AS DOUBLE) * lane AS lat1, CAST(-66.20 AS DOUBLE) + CAST(0.00094 AS DOUBLE) * (k + 1) AS lon2,
         CAST(-17.39 AS DOUBLE) + CAST(0.0027 AS DOUBLE) * lane AS lat2
@@ -342,7 +356,7 @@ SQL = {
 }
 
 NEEDS = {
-    "trips": ["sessions"], "trace_edges": ["trace_points"], "edge_geometry": ["trace_edges"], "route_edges": ["trace_points"],
+    "matched_points": ["trace_points"], "trips": ["sessions"], "trace_edges": ["trace_points"], "edge_geometry": ["trace_edges"], "route_edges": ["trace_points"],
     "routes": ["route_edges"], "zoned_reports": ["fare_reports", "zones"], "edge_votes": ["edge_vote_events"],
     "route_votes": ["trace_points"], "line_votes": ["line_vote_events"], "trip_segments": ["trace_points"], "edge_segments": ["route_edges"],
 }
