@@ -29,10 +29,17 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     from . import (  # noqa: F401
         cleaning,
+        consensus,
+        evaluation,
         fares,
         geometry,
+        lifecycle,
         listings,
         overlap,
+        routing,
         schedules,
+        sources,
+        strategies,
+        streams,
         votes,
     )

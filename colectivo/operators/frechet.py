@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import geo
 from .grid import cell
@@ -39,7 +40,7 @@ def discrete_frechet(p: np.ndarray, q: np.ndarray) -> float:
     return float(newer[n])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def frechet_metres(lon_a: pd.Series, lat_a: pd.Series, lon_b: pd.Series, lat_b: pd.Series) -> pd.Series:
     """Metres between two tracks, projected at the mean latitude of the first."""
     out = []

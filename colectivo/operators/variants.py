@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..config import Direction, Variants
 from ..functions import geo
 from ..session import snapshot
 from .frechet import close_pairs, collapse_copies, frechet, shapes_of
-from .grid import cell
+from .grid import box_pairs
 from .loops import connected_components, mutual_best
 from .ordered import with_neighbours
 from .polyline import arc_lengths, project, resample_even, resample_step, to_segments
@@ -129,7 +130,7 @@ def _half_compatible(px, py, lx, ly, near_m, step_m, min_overlap_m, excursion_m)
 def half_compatible(cfg: Variants = Variants()):
     """Arrow function (lon_a, lat_a, lon_b, lat_b, ref_lat) → does a stay with b?"""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def judge(lon_a: pd.Series, lat_a: pd.Series, lon_b: pd.Series, lat_b: pd.Series, ref: pd.Series) -> pd.Series:
         out = []
         for la, pa, lb, pb, lat0 in zip(lon_a, lat_a, lon_b, lat_b, ref):
@@ -148,33 +149,14 @@ def half_compatible(cfg: Variants = Variants()):
     return judge
 
 
-def overlapping_boxes(shapes: DataFrame, group: Sequence[str], grow_deg: float, trace: str = "trace_id", cell_deg: float = 0.05) -> DataFrame:
-    """Pairs a < b of one group whose bounding boxes, grown by ``grow_deg``, meet."""
+def compatible_pairs(shapes: DataFrame, group: Sequence[str], cfg: Variants = Variants(), trace: str = "trace_id") -> DataFrame:
+    """Pairs a < b that pass the same-variant test both ways."""
     group = list(group)
     lon, lat = F.transform("path", lambda p: p["lon"]), F.transform("path", lambda p: p["lat"])
     boxes = shapes.select(
         *group, trace, F.array_min(lon).alias("w"), F.array_max(lon).alias("e"), F.array_min(lat).alias("s"), F.array_max(lat).alias("n")
     )
-    span = lambda lo, hi: F.sequence(cell(F.col(lo) - grow_deg, cell_deg), cell(F.col(hi) + grow_deg, cell_deg))
-    cells = boxes.withColumn("cx", F.explode(span("w", "e"))).withColumn("cy", F.explode(span("s", "n")))
-    a, b = cells.alias("a"), cells.alias("b")
-    match = (
-        (F.col(f"a.{trace}") < F.col(f"b.{trace}"))
-        & (F.col("a.w") - grow_deg <= F.col("b.e")) & (F.col("b.w") - grow_deg <= F.col("a.e"))
-        & (F.col("a.s") - grow_deg <= F.col("b.n")) & (F.col("b.s") - grow_deg <= F.col("a.n"))
-        # The pair is formed only in the first cell both boxes share.
-        & (F.col("a.cx") == F.greatest(cell(F.col("a.w") - grow_deg, cell_deg), cell(F.col("b.w") - grow_deg, cell_deg)))
-        & (F.col("a.cy") == F.greatest(cell(F.col("a.s") - grow_deg, cell_deg), cell(F.col("b.s") - grow_deg, cell_deg)))
-    )
-    for g in [*group, "cx", "cy"]:
-        match = (F.col(f"a.{g}") == F.col(f"b.{g}")) & match
-    return a.join(b, match).select(*[F.col(f"a.{g}").alias(g) for g in group], F.col(f"a.{trace}").alias("a"), F.col(f"b.{trace}").alias("b"))
-
-
-def compatible_pairs(shapes: DataFrame, group: Sequence[str], cfg: Variants = Variants(), trace: str = "trace_id") -> DataFrame:
-    """Pairs a < b that pass the same-variant test both ways."""
-    group = list(group)
-    candidates = overlapping_boxes(shapes, group, cfg.near_m / 90_000, trace)
+    candidates = box_pairs(boxes, group, trace, cfg.near_m / 90_000).select(*group, "a", "b")
     side = lambda name: shapes.select(*group, F.col(trace).alias(name), F.col("path").alias(f"path_{name}"))
     ref = shapes.groupBy(*group).agg(F.min(F.array_min(F.transform("path", lambda p: p["lat"]))).alias("ref_lat"))
     judge = half_compatible(cfg)

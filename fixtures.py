@@ -124,6 +124,25 @@ class Tables:
             "cast(-17.39 AS double) + cast(0.0027 AS double) * lane AS lat2",
         )
 
+    @cached_property
+    def edge_shapes(self) -> DataFrame:
+        """Shape of every road edge as ridden by each trace."""
+        return self.trace_edges.join(self.edge_geometry, "edge_id").selectExpr(
+            "line_id", "trace_id", "edge_id", "forward",
+            "array(named_struct('lon', lon1, 'lat', lat1), named_struct('lon', lon2, 'lat', lat2)) AS path",
+        ).distinct()
+
+    @cached_property
+    def route_paths(self) -> DataFrame:
+        """Path of every live route; a route is bounded by its road edges."""
+        return self.route_edges.groupBy("route_id", "line_id", "lane").agg(
+            F.sort_array(F.collect_list(F.struct("sequence", "lon1", "lat1", "lon2", "lat2"))).alias("e")
+        ).selectExpr(
+            "route_id", "line_id", "lane",
+            "concat(array(named_struct('lon', e[0].lon1, 'lat', e[0].lat1)),"
+            " transform(e, x -> named_struct('lon', x.lon2, 'lat', x.lat2))) AS path",
+        )
+
     @cached_property
     def route_edges(self) -> DataFrame:
         """One active route per line and lane, made of the lattice edges ridden there."""
@@ -375,6 +394,8 @@ def with_tables(body: str, *names: str) -> str:
         need(name)
     ctes = ",\n".join(f"{name} AS ({text})" for name, text in SQL.items() if name in wanted)
     body = body.strip()
+    if not wanted:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
