@@ -21,8 +21,9 @@ def route_documents(t: Tables):
     feature = F.struct(
         F.lit("Feature").alias("type"), F.create_map(F.lit("route_short_name"), F.concat(F.lit("L"), F.col("line_id").cast("string")), F.lit("lane"), F.col("lane").cast("string")).alias("properties"),
         F.struct(F.lit("LineString").alias("type"), F.transform("path", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates")).alias("geometry"))
-    docs = t.route_paths.groupBy("line_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("lane", feature.alias("f")))), lambda s: s["f"]).alias("features"))
-    return docs.select("line_id", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    docs = t.route_paths.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("lane", F.to_json(feature).alias("f")))).alias("l"))
+    listed = F.array_join(F.transform("l", lambda s: s["f"]), ",")
+    return docs.select("line_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}")).alias("value"))
 
 
 def written_routes(t: Tables) -> str:
