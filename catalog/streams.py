@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.lifecycle import LIMIT
 from colectivo.operators import cleaning, votes
 from colectivo.session import checkpoint_root
 from colectivo.streaming import notifications, uploads
@@ -66,7 +67,7 @@ def clean_on_end(t: Tables):
     return t.spark.read.parquet(out).select("session_id", "at_most")
 
 
-@query("x03_notification_stream")
+@query("x03_notification_stream", with_tables(f"WITH RECURSIVE {LIMIT} SELECT device_id, line_id, event_id, decision FROM s", "detour_events"))
 def notification_stream(t: Tables):
     events = t.detour_events.selectExpr("device_id", "line_id", "event_id", "unix_micros(cast(sent_at AS timestamp)) AS sent_us")
     return run(t, notifications.limit_stream(as_stream(t, events, "alerts")), "decisions").select("device_id", "line_id", "event_id", "decision")

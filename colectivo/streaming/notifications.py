@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 DAY_US = 24 * 3600 * 1_000_000
@@ -36,15 +37,17 @@ def _limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         decision, singles, summaries = decide(int(sent), singles, summaries)
         decisions.append(decision)
     state.update((singles, summaries))
-    state.setTimeoutDuration(DAY_US // 1000)
+    # A day after its last alert a pair has nothing left to remember.
+    quiet_ms = int(events["sent_us"].max()) // 1000 + DAY_US // 1000
+    state.setTimeoutTimestamp(max(quiet_ms, state.getCurrentWatermarkMs() + 1))
     yield events.assign(decision=decisions)[["device_id", "line_id", "event_id", "sent_us", "decision"]]
 
 
 def limit_stream(events: DataFrame) -> DataFrame:
     """Streaming decisions per (device, line). ``events``: device_id, line_id, event_id, sent_us.
 
-    The state is at most three single sends and one summary per pair.
+    The state is at most three single sends and one summary per pair, dropped by
+    event time a day after the last alert.
     """
-    return events.select("device_id", "line_id", "event_id", "sent_us").groupBy("device_id", "line_id").applyInPandasWithState(
-        _limit, OUTPUT, STATE, "append", "ProcessingTimeTimeout"
-    )
+    timed = events.select("device_id", "line_id", "event_id", "sent_us", F.timestamp_micros("sent_us").alias("at")).withWatermark("at", "1 hour")
+    return timed.groupBy("device_id", "line_id").applyInPandasWithState(_limit, OUTPUT, STATE, "append", "EventTimeTimeout")
