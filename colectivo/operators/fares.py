@@ -56,9 +56,21 @@ def resolve_zone(points: DataFrame, zones: DataFrame, lon: str, lat: str, out: s
 
 
 def resolve_report_zones(reports: DataFrame, zones: DataFrame) -> DataFrame:
-    """Zones of both ends of each fare report; zones already known stay."""
-    out = resolve_zone(reports, zones, "boarding_lon", "boarding_lat", "_b")
-    out = resolve_zone(out, zones, "alighting_lon", "alighting_lat", "_a")
+    """Zones of both ends of each fare report; zones already known stay.
+
+    Stops are reported again and again, so each distinct place is located once
+    (collapsed map-side) and both ends look their zone up.
+    """
+    ends = {"boarding": "_b", "alighting": "_a"}
+    spots = None
+    for end in ends:
+        part = reports.select(F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_lat").alias("lat"))
+        spots = part if spots is None else spots.union(part)
+    located = resolve_zone(spots.where("lon IS NOT NULL AND lat IS NOT NULL").distinct(), zones, "lon", "lat", "zone").where("zone IS NOT NULL")
+    out = reports
+    for end, name in ends.items():
+        side = located.select(F.col("lon").alias(f"{end}_lon"), F.col("lat").alias(f"{end}_lat"), F.col("zone").alias(name))
+        out = out.join(side, [f"{end}_lon", f"{end}_lat"], "left")
     known = lambda name, found: F.coalesce(F.col(name), F.col(found)) if name in reports.columns else F.col(found)
     return out.withColumns(
         {"boarding_zone_id": known("boarding_zone_id", "_b"), "alighting_zone_id": known("alighting_zone_id", "_a")}
