@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, token_counts
+from . import language_id, line_dedup, mixing, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -33,13 +33,30 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxicity.label_columns(_table(spark, sf_dir, "labels")))
+    out = toxicity.predict(docs, chain)
+    return out.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = language_id.learn(docs.where(~language_id.held_out()), "doc_id", "text", "lang")
+    return language_id.identify(docs.withColumn("key", F.struct("doc_id", language_id.held_out().alias("held_out"))), samples, "key").select(
+        "key.doc_id", "key.held_out", "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL}
