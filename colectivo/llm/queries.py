@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, token_counts, toxicity
+from . import language_id, line_dedup, mixing, pieces, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -44,6 +44,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    digest = F.sha2(F.array_join("piece_ids", ","), 256)
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), "round_trip")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     samples = language_id.learn(docs.where(~language_id.held_out()), "doc_id", "text", "lang")
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL}
