@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, pieces, token_counts, toxicity
+from . import language_id, line_dedup, minhash, mixing, pieces, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +33,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.fit(docs, toxicity.label_columns(_table(spark, sf_dir, "labels")))
@@ -61,9 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op5_minhash": minhash.SQL}
