@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash, mixing, pieces, token_counts, toxicity
+from . import language_id, line_dedup, minhash, mixing, pieces, substrings, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -44,6 +44,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -67,8 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
+    "op7_substrings": op7_substrings,
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op5_minhash": minhash.SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op5_minhash": minhash.SQL, "op7_substrings": substrings.SQL}
