@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash, mixing, pieces, substrings, token_counts, toxicity
+from . import language_id, line_dedup, minhash, mixing, pieces, substrings, token_counts, toxicity, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +33,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"))
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -70,6 +78,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_nearest": op3_nearest,
+    "op4_near_vectors": op4_near_vectors,
     "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_substrings": op7_substrings,
@@ -77,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op5_minhash": minhash.SQL, "op7_substrings": substrings.SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op4_near_vectors": vectors.SQL_NEAR, "op5_minhash": minhash.SQL, "op7_substrings": substrings.SQL}
