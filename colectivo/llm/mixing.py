@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import snapshot
 from .common import packed, unpacked
 
-DIMS, ROUNDS, TEMPER, SEED = ("source", "lang", "topic"), 10, 0.5, "mix-1"
+DIMS, ROUNDS, TEMPER, SEED = ("source", "lang", "topic"), 10, 0.9, "mix-1"
 RESULT = ("n_tokens", "topic", "weight", "keep_probability", "kept")
 #: Token weights: words between ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
