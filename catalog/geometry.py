@@ -86,11 +86,11 @@ def line_name_key(t: Tables):
     return t.lines.select("line_id", scalar.line_name_key(F.col("name")).alias("key"))
 
 
-@query("f13_detour_confidence", with_tables("""WITH d AS (SELECT detour_id, confirmed_count, (epoch_us(TIMESTAMP '1998-06-01 12:00:00') - epoch_us(last_confirmed_at)) // 86400000000 AS days FROM detours WHERE last_confirmed_at <= TIMESTAMP '1998-06-01 12:00:00')
-    SELECT detour_id, days, CAST(greatest(0, least(100, round_even(100 * greatest(0.0, least(1.0, 1.0 - days / 14.0)) * least(1.0, 0.5 + 0.5 * ln(1 + greatest(0, confirmed_count - 1)) / ln(21.0)), 0))) AS INTEGER) AS confidence FROM d""", "detours"))
+@query("f13_detour_confidence", with_tables("""WITH d AS (SELECT detour_id, confirmed_count, (epoch_us(TIMESTAMP '1998-06-01 12:00:00') - epoch_us(last_confirmed_at)) AS us FROM detours), e AS (SELECT detour_id, confirmed_count, CAST(floor(us / 86400000000.0) AS BIGINT) AS days FROM d)
+    SELECT detour_id, days, CAST(greatest(0, least(100, round_even(100 * greatest(0.0, least(1.0, 1.0 - days / 14.0)) * least(1.0, 0.5 + 0.5 * ln(1 + greatest(0, confirmed_count - 1)) / ln(21.0)), 0))) AS INTEGER) AS confidence FROM e""", "detours"))
 def detour_confidence(t: Tables):
     now = F.to_timestamp(F.lit("1998-06-01 12:00:00"))
-    d = t.detours.where(F.col("last_confirmed_at") <= now).withColumn("days", scalar.whole_days(now, F.col("last_confirmed_at")))
+    d = t.detours.withColumn("days", scalar.whole_days(now, F.col("last_confirmed_at")))
     return d.select("detour_id", "days", scalar.detour_confidence(F.col("days"), F.col("confirmed_count")).alias("confidence"))
 
 
@@ -180,24 +180,24 @@ def stitch_route(t: Tables):
                        F.round(F.element_at("path", -1)["lon"], 6).alias("last_lon"))
 
 
-ROUTE_SEG = """rs AS (SELECT line_id, sequence AS seg, lon1 * cos(radians(-17.39)) * 111320.0 AS x1, lat1 * 111320.0 AS y1, lon2 * cos(radians(-17.39)) * 111320.0 AS x2, lat2 * 111320.0 AS y2
-    FROM route_edges WHERE lane = 0)"""
+ROUTE_SEG = """rs AS (SELECT line_id * 10 + lane AS line_id, sequence AS seg, lon1 * cos(radians(-17.39)) * 111320.0 AS x1, lat1 * 111320.0 AS y1, lon2 * cos(radians(-17.39)) * 111320.0 AS x2, lat2 * 111320.0 AS y2
+    FROM route_edges)"""
 
 
 def lane_segments(t: Tables):
     x1, y1 = geo.equirect("lon1", "lat1", -17.39)
     x2, y2 = geo.equirect("lon2", "lat2", -17.39)
-    seg = t.route_edges.where("lane = 0").select("line_id", F.col("sequence").alias("seg"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    seg = t.route_edges.select(F.expr("line_id * 10 + lane AS line_id"), F.col("sequence").alias("seg"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
     seg = seg.withColumn("len", geo.dist("x1", "y1", "x2", "y2"))
     return ordered.running_sum(seg, ["line_id"], "seg", F.col("len"), "_e").withColumn("pos", F.col("_e") - F.col("len")).drop("_e")
 
 
 def flat_points(t: Tables):
     px, py = geo.equirect("lon", "lat", -17.39)
-    return t.trace_points.select("trace_id", "line_id", "point_index", px.alias("px"), py.alias("py"))
+    return t.trace_points.select("trace_id", F.expr("line_id * 10 + trace_id % 3 AS line_id"), "point_index", px.alias("px"), py.alias("py"))
 
 
-@query("f07_project_on_route", with_tables(f"""WITH {ROUTE_SEG}, pt AS (SELECT trace_id, line_id, point_index, lon * cos(radians(-17.39)) * 111320.0 AS px, lat * 111320.0 AS py FROM trace_points)
+@query("f07_project_on_route", with_tables(f"""WITH {ROUTE_SEG}, pt AS (SELECT trace_id, line_id * 10 + trace_id % 3 AS line_id, point_index, lon * cos(radians(-17.39)) * 111320.0 AS px, lat * 111320.0 AS py FROM trace_points)
     SELECT trace_id, point_index, round(min(d), 3) AS offset_m FROM (SELECT p.trace_id, p.point_index, {point_seg('p.px', 'p.py', 'r.x1', 'r.y1', 'r.x2', 'r.y2')} AS d FROM pt p JOIN rs r USING (line_id)) WHERE d <= 60 GROUP BY 1, 2""",
     "trace_points", "route_edges"))
 def project_on_route(t: Tables):
@@ -205,15 +205,15 @@ def project_on_route(t: Tables):
     return near.select("trace_id", "point_index", F.round("offset_m", 3).alias("offset_m"))
 
 
-@query("w11_detour_stretch", with_tables(f"""WITH {ROUTE_SEG}, pt AS (SELECT trace_id, line_id, point_index, lon * cos(radians(-17.39)) * 111320.0 AS px, (lat + CASE WHEN point_index BETWEEN 10 AND 20 THEN 0.002 ELSE 0 END) * 111320.0 AS py FROM trace_points WHERE trace_id % 3 = 0),
+@query("w11_detour_stretch", with_tables(f"""WITH {ROUTE_SEG}, pt AS (SELECT trace_id, line_id * 10 + trace_id % 3 AS line_id, point_index, lon * cos(radians(-17.39)) * 111320.0 AS px, (lat + CASE WHEN point_index BETWEEN 10 AND 20 THEN 0.002 ELSE 0 END) * 111320.0 AS py FROM trace_points),
     d AS (SELECT p.trace_id, p.point_index, min({point_seg('p.px', 'p.py', 'r.x1', 'r.y1', 'r.x2', 'r.y2')}) AS d FROM pt p JOIN rs r USING (line_id) GROUP BY 1, 2)
     SELECT trace_id, CASE WHEN min(CASE WHEN d > 50 THEN point_index END) IS NULL THEN 0 ELSE greatest(0, min(CASE WHEN d > 50 THEN point_index END) - 1) END AS start_index,
     CASE WHEN min(CASE WHEN d > 50 THEN point_index END) IS NULL THEN max(point_index) ELSE least(max(point_index), max(CASE WHEN d > 50 THEN point_index END) + 1) END AS end_index,
     min(CASE WHEN d > 50 THEN point_index END) IS NOT NULL AS diverges FROM d GROUP BY 1""", "trace_points", "route_edges"))
 def detour_stretch(t: Tables):
-    bent = t.trace_points.where("trace_id % 3 = 0").withColumn("lat", F.expr("lat + CASE WHEN point_index BETWEEN 10 AND 20 THEN 0.002D ELSE 0D END"))
+    bent = t.trace_points.withColumn("lat", F.expr("lat + CASE WHEN point_index BETWEEN 10 AND 20 THEN 0.002D ELSE 0D END"))
     px, py = geo.equirect("lon", "lat", -17.39)
-    path = bent.select("trace_id", "line_id", "point_index", px.alias("px"), py.alias("py"))
+    path = bent.select("trace_id", F.expr("line_id * 10 + trace_id % 3 AS line_id"), "point_index", px.alias("px"), py.alias("py"))
     return ops.detour_stretch(path, lane_segments(t), ["trace_id"], ["line_id"], "point_index")
 
 

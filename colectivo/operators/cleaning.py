@@ -329,15 +329,14 @@ def despike_route(path: Column, min_turn_deg: float = 120.0, max_arm_m: float =
     return F.when(n < 3, path).otherwise(F.concat(folded, F.slice(path, n, 1)))
 
 
-def despike_routes(routes: DataFrame, max_rounds: int = 32) -> DataFrame:
+def despike_routes(routes: DataFrame) -> DataFrame:
     """Repeat ``despike_route`` on every route until none changes; adds points_removed."""
     out = snapshot(routes.withColumn("_before", F.size("path")))
-    for _ in range(max_rounds):
+    while True:
         was = F.size("path")
         out = snapshot(out.withColumn("_n", was).withColumn("path", despike_route(F.col("path"))))
         if out.where(F.size("path") < F.col("_n")).isEmpty():
             return out.withColumn("points_removed", F.col("_before") - F.size("path")).drop("_before", "_n")
-    raise RuntimeError("despiking did not settle")
 
 
 def trip_directions(ends: DataFrame, group: str = "line_id", min_m: float = 50.0) -> DataFrame:

@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import snapshot
 
-MAX_ROUNDS = 64
-
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "node", max_rounds: int = MAX_ROUNDS
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "node"
 ) -> DataFrame:
     """Component of each node = least node id in it.
 
@@ -33,7 +31,7 @@ def connected_components(
         .distinct()
     )
     labels = snapshot(nodes.select(*on, F.col(node).alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         hop = (
             both.join(labels.withColumnRenamed("node", "dst"), [*on, "dst"])
             .groupBy(*on, F.col("src").alias("node"))
@@ -49,10 +47,9 @@ def connected_components(
         labels = step.select(*on, "node", "label")
         if step.where(F.col("was") != F.col("label")).isEmpty():
             return labels.select(*on, F.col("node").alias(node), F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def reach_by_doubling(links: DataFrame, starts: DataFrame, keys: Sequence[str], max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach_by_doubling(links: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nodes met when following ``links`` (keys + node, next) from ``starts`` (keys + node).
 
     Pointer doubling: after k rounds everything within 2^k steps is known.
@@ -60,7 +57,7 @@ def reach_by_doubling(links: DataFrame, starts: DataFrame, keys: Sequence[str],
     on = list(keys)
     jump = links.select(*on, "node", "next")
     reached = snapshot(starts.select(*on, "node").distinct())
-    for _ in range(max_rounds):
+    while True:
         fresh = (
             reached.join(jump, [*on, "node"])
             .select(*on, F.col("next").alias("node"))
@@ -73,7 +70,6 @@ def reach_by_doubling(links: DataFrame, starts: DataFrame, keys: Sequence[str],
         reached = snapshot(reached.union(fresh))
         onward = jump.select(*on, F.col("node").alias("next"), F.col("next").alias("far"))
         jump = snapshot(jump.join(onward, [*on, "next"]).select(*on, "node", F.col("far").alias("next")))
-    raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
 
 
 def mutual_best(
@@ -83,7 +79,6 @@ def mutual_best(
     b: str,
     score: Sequence,
     shared_ids: bool = False,
-    max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """One-to-one choice of pairs, best score first.
 
@@ -98,7 +93,7 @@ def mutual_best(
         pairs.withColumns({"_rank": F.struct(*score, F.col(a), F.col(b)), "_na": tag("a", a), "_nb": tag("b", b)})
     )
     chosen = None
-    for _ in range(max_rounds):
+    while True:
         if left.isEmpty():
             return (chosen if chosen is not None else left).drop("_rank", "_na", "_nb")
         ends = left.select(*on, F.explode(F.array("_na", "_nb")).alias("_node"), "_rank")
@@ -115,4 +110,3 @@ def mutual_best(
         left = snapshot(
             left.join(used, [*on, "_na"], "left_anti").join(used.withColumnRenamed("_na", "_nb"), [*on, "_nb"], "left_anti")
         )
-    raise RuntimeError(f"pairing did not settle in {max_rounds} rounds")

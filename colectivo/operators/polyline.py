@@ -195,7 +195,7 @@ def project(points: DataFrame, segments: DataFrame, on: Sequence[str], within: f
     return out if within is None else out.where(F.col("offset_m") <= within)
 
 
-def simplify(points: DataFrame, keys: Sequence[str], idx: str, tolerance: float, max_rounds: int = 64) -> DataFrame:
+def simplify(points: DataFrame, keys: Sequence[str], idx: str, tolerance: float) -> DataFrame:
     """Kept vertices of Douglas–Peucker in raw degrees, for all tracks at once.
 
     A round measures every open vertex against the chord of its span, splits
@@ -207,7 +207,7 @@ def simplify(points: DataFrame, keys: Sequence[str], idx: str, tolerance: float,
     ends = verts.groupBy(*keys).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     kept = snapshot(ends.select(*keys, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("i")))
     open_verts = snapshot(verts.join(ends, keys).where("i > lo AND i < hi"))
-    for _ in range(max_rounds):
+    while True:
         if open_verts.isEmpty():
             break
         spans = open_verts.select(*keys, "lo", "hi").distinct()
@@ -236,8 +236,6 @@ def simplify(points: DataFrame, keys: Sequence[str], idx: str, tolerance: float,
                 F.when(F.col("i") < F.col("at"), F.col("at")).otherwise(F.col("hi")).alias("hi"),
             )
         )
-    else:
-        raise RuntimeError(f"simplification did not settle in {max_rounds} rounds")
     return points.join(kept.withColumnRenamed("i", idx), [*keys, idx], "left_semi")
 
 

@@ -85,7 +85,7 @@ def support_threshold(n_traces: Column, share: float = 0.34, explicit: int = 0)
     return F.lit(max(1, explicit)) if explicit > 0 else F.greatest(F.lit(1), F.ceil(n_traces * share)).cast("bigint")
 
 
-def drop_internal_noise(edges: DataFrame, group: Sequence[str], share: float = 0.34, noise: int = 1, max_rounds: int = 64) -> DataFrame:
+def drop_internal_noise(edges: DataFrame, group: Sequence[str], share: float = 0.34, noise: int = 1) -> DataFrame:
     """Remove weakly backed inner edges that a well-backed pair skips.
 
     An inner edge goes when its own support is low, the pair of its neighbours
@@ -101,7 +101,7 @@ def drop_internal_noise(edges: DataFrame, group: Sequence[str], share: float = 0
     limits = n.select(*group, support_threshold(F.col("n"), share).alias("need"))
     weight, pair = snapshot(weight.withColumnRenamed("weight", "w")), snapshot(pair)
     of = lambda a, b, name: pair.select(*group, F.col("u").alias(a), F.col("v").alias(b), F.col("weight").alias(name))
-    for _ in range(max_rounds):
+    while True:
         near = with_neighbours(rows, trace, "seq", ["node"])
         inner = near.where("prev1_node IS NOT NULL AND next1_node IS NOT NULL").join(weight, [*group, "node"]).join(limits, group)
         low = inner.where((F.col("w") < F.col("need")) | (F.col("w") <= noise))
@@ -119,7 +119,6 @@ def drop_internal_noise(edges: DataFrame, group: Sequence[str], share: float = 0
         before = judged.select(*trace, (F.col("seq") + 1).alias("seq"))
         gone = judged.join(before, [*trace, "seq"], "left_anti")
         rows = snapshot(renumber(rows.join(gone, [*trace, "seq"], "left_anti"), trace, "seq"))
-    raise RuntimeError("noise removal did not settle")
 
 
 def as_arrays(edges: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -176,7 +175,7 @@ def _equal(on, *more) -> Column:
     return match
 
 
-def assemble_overlaps(seqs: DataFrame, group: Sequence[str], min_overlap: int = 1, max_rounds: int = 4096) -> DataFrame:
+def assemble_overlaps(seqs: DataFrame, group: Sequence[str], min_overlap: int = 1) -> DataFrame:
     """Grow fragments by exact suffix–prefix overlaps, all groups in step.
 
     A fragment starts at the sequence containing most others (then greatest
@@ -211,7 +210,7 @@ def assemble_overlaps(seqs: DataFrame, group: Sequence[str], min_overlap: int =
     done = None
     contig = None
     index = 0
-    for _ in range(max_rounds):
+    while True:
         if contig is None:
             if pool.isEmpty():
                 return done

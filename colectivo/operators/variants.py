@@ -196,7 +196,7 @@ def cluster_by_compatibility(points: DataFrame, group: Sequence[str] = ("line_id
     return out.join(first, group).select(*group, "trace_id", cluster.alias("cluster"))
 
 
-def complete_linkage(pairs: DataFrame, members: DataFrame, group: Sequence[str], max_rounds: int = 64) -> DataFrame:
+def complete_linkage(pairs: DataFrame, members: DataFrame, group: Sequence[str]) -> DataFrame:
     """Complete-linkage clusters cut at the threshold the pairs were formed with.
 
     ``pairs``: group, a, b, metres for every pair within the threshold;
@@ -207,7 +207,7 @@ def complete_linkage(pairs: DataFrame, members: DataFrame, group: Sequence[str],
     group = list(group)
     labels = snapshot(members.select(*group, "trace_id", F.col("trace_id").alias("cluster")))
     links = snapshot(pairs.select(*group, "a", "b", F.col("metres").alias("d"), F.lit(1).cast("bigint").alias("n")))
-    for _ in range(max_rounds):
+    while True:
         sizes = labels.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("size"))
         size_of = lambda side: sizes.select(*group, F.col("cluster").alias(side), F.col("size").alias(f"size_{side}"))
         full = links.join(size_of("a"), [*group, "a"]).join(size_of("b"), [*group, "b"]).where("n = size_a * size_b")
@@ -228,7 +228,6 @@ def complete_linkage(pairs: DataFrame, members: DataFrame, group: Sequence[str],
             .agg(F.max("d").alias("d"), F.sum("n").alias("n"))
             .select(*group, F.col("lo").alias("a"), F.col("hi").alias("b"), "d", "n")
         )
-    raise RuntimeError("linkage did not settle")
 
 
 def cluster_by_frechet(points: DataFrame, group: Sequence[str] = ("line_id",), cfg: Variants = Variants(), threshold_m: float = 200.0) -> DataFrame:

@@ -49,7 +49,7 @@ def line_envelopes(points: DataFrame) -> DataFrame:
     )
 
 
-def _merge_overlapping(pairs: DataFrame, ages: DataFrame, max_rounds: int = 256) -> DataFrame:
+def _merge_overlapping(pairs: DataFrame, ages: DataFrame) -> DataFrame:
     """Merge the strongest overlaps first; the older line stays and may take more.
 
     A pair is settled once it is the strongest one left for both of its lines.
@@ -58,7 +58,7 @@ def _merge_overlapping(pairs: DataFrame, ages: DataFrame, max_rounds: int = 256)
     left = pairs.where("a < b").join(side("a"), "a").join(side("b"), "b")
     left = snapshot(left.withColumn("_rank", F.struct((-F.col("ratio")).alias("r"), "a", "b")))
     merges = None
-    for _ in range(max_rounds):
+    while True:
         if left.isEmpty():
             return merges if merges is not None else left.select(F.col("a").alias("line_id"), F.col("b").alias("target"))
         best = left.select(F.explode(F.array("a", "b")).alias("line"), "_rank").groupBy("line").agg(F.min("_rank").alias("_best"))
@@ -71,7 +71,6 @@ def _merge_overlapping(pairs: DataFrame, ages: DataFrame, max_rounds: int = 256)
         merges = now if merges is None else snapshot(merges.union(now))
         gone = now.select("line_id")
         left = snapshot(left.join(gone.withColumnRenamed("line_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("line_id", "b"), "b", "left_anti"))
-    raise RuntimeError("line merging did not settle")
 
 
 def deduplicate_lines(lines: DataFrame, points: DataFrame, min_ratio: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:

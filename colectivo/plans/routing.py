@@ -9,6 +9,8 @@ vehicles, not stops.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def _near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     return out.where(F.col("metres") <= metres).drop("cx", "cy")
 
 
-def merge_nodes(edges: DataFrame, cfg: Routing = Routing(), max_rounds: int = 256) -> tuple[DataFrame, DataFrame]:
+def merge_nodes(edges: DataFrame, cfg: Routing = Routing()) -> tuple[DataFrame, DataFrame]:
     """Graph nodes from edge ends, ends within 20 m of an earlier node joining it.
 
     ``edges``: line_id, route_id, sequence, lon1, lat1, lon2, lat2 with length_m.
@@ -47,7 +49,7 @@ def merge_nodes(edges: DataFrame, cfg: Routing = Routing(), max_rounds: int = 25
     undecided = earlier.select("lon", "lat").distinct()
     leaders = snapshot(spots.join(undecided, ["lon", "lat"], "left_anti").select("lon", "lat"))
     open_spots = snapshot(undecided)
-    for _ in range(max_rounds):
+    while True:
         if open_spots.isEmpty():
             break
         lead = leaders.select(F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), F.lit(True).alias("led"))
@@ -148,7 +150,7 @@ def graph_stats(nodes: DataFrame, timed: DataFrame, gaps: DataFrame, transfers:
 
 def travel_times(
     pairs: DataFrame, nodes: DataFrame, stops: DataFrame, transfers: DataFrame, pending_lines: bool = False, pending_routes: bool = False,
-    cfg: Routing = Routing(), max_rounds: int = 512,
+    cfg: Routing = Routing(),
 ) -> tuple[DataFrame, DataFrame]:
     """Least time per pair (od_id, olon, olat, dlon, dlat) and its legs.
 
@@ -177,7 +179,7 @@ def travel_times(
     cols = ["time", "prev", "mode", "line_id", "metres", "step_s"]
     state = snapshot(state)
     frontier = state
-    for _ in range(max_rounds):
+    while True:
         board = frontier.select("origin", "node_id", "time").join(usable, "node_id").select("origin", "route_id", "pos", F.struct((F.col("time") - F.col("t")).alias("head"), F.col("node_id").alias("at"), F.col("m").alias("m0"), F.col("t").alias("t0")).alias("b"))
         touched = board.select("origin", "route_id").distinct()
         rides = touched.join(usable, "route_id").join(board, ["origin", "route_id", "pos"], "left")
@@ -193,14 +195,12 @@ def travel_times(
         if frontier.isEmpty():
             break
         state = snapshot(state.join(frontier.select("origin", "node_id"), ["origin", "node_id"], "left_anti").unionByName(frontier))
-    else:
-        raise RuntimeError("travel times did not settle")
     out = access_edges(goals, nodes, cfg).select(F.col("place_id").alias("goal"), "node_id", F.col("seconds").alias("out_s"), F.col("metres").alias("out_m"))
     done = asked.select("od_id", "origin", "goal").join(out, "goal").join(state.select("origin", "node_id", "time"), ["origin", "node_id"])
     best = snapshot(done.groupBy("od_id", "origin").agg(F.min(F.struct((F.col("time") + F.col("out_s")).alias("seconds"), "node_id", "out_s", "out_m")).alias("b")).select("od_id", "origin", "b.*"))
     last = best.select("od_id", F.lit(0).alias("back"), F.lit("walk").alias("mode"), none.cast(line_type).alias("line_id"), F.col("node_id").alias("from_node"), none.cast("string").alias("to_node"), F.col("out_m").alias("metres"), F.col("out_s").alias("seconds"))
     legs, here = last, best.select("od_id", "origin", "node_id")
-    for back in range(1, max_rounds):
+    for back in count(1):
         step = snapshot(here.join(state, ["origin", "node_id"]))
         if step.isEmpty():
             break

@@ -20,7 +20,7 @@ def way_paths(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     ).where(F.size("path") >= 2)
 
 
-def outer_rings(relations: DataFrame, paths: DataFrame, max_rounds: int = 512) -> DataFrame:
+def outer_rings(relations: DataFrame, paths: DataFrame) -> DataFrame:
     """Rings of each zone from its outer ways, joined end to end.
 
     ``relations``: zone key, name, members (array of struct<type, ref, role>).
@@ -40,7 +40,7 @@ def outer_rings(relations: DataFrame, paths: DataFrame, max_rounds: int = 512) -
     key = ["relation_id", "component"]
     rings = snapshot(left.where("way_id = component").select(*key, "name", "path"))
     left = snapshot(left.where("way_id <> component").select(*key, "way_id", "path"))
-    for _ in range(max_rounds):
+    while True:
         tips = rings.select(*key, "path", snap(F.element_at("path", -1)).alias("tip"))
         both = left.select(*key, "way_id", F.col("path").alias("next")).union(left.select(*key, "way_id", F.reverse("path").alias("next")))
         hits = both.withColumn("tip", snap(F.element_at("next", 1))).join(tips.select(*key, "tip"), [*key, "tip"])

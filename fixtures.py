@@ -55,9 +55,8 @@ class Tables:
         )
         timed = done.selectExpr(
             "session_id", "device_id", "line_id", "status", "fresh", "ts", "last_activity_at",
-            "CASE WHEN line_id < 3 THEN day + make_dt_interval(0, 10, cast(8 * (rn + 1) + session_id % 3 as int)) ELSE ts END AS started_at",
-            "rn + 1 AS rn",
-        ).where("line_id > 2 OR rn <= 90").drop("rn")
+            "CASE WHEN line_id < 3 THEN day + make_dt_interval(0, 10, cast(8 * (rn % 90 + 1) + session_id % 3 as int)) ELSE ts END AS started_at",
+        )
         other = events.where("status <> 'completed'").selectExpr(
             "session_id", "device_id", "line_id", "status", "fresh", "ts", "last_activity_at", "ts AS started_at"
         )
@@ -252,7 +251,7 @@ class Tables:
     @cached_property
     def descriptors(self) -> DataFrame:
         return self.raw("documents").selectExpr(
-            "doc_id", "doc_id % 20 AS route_id", "substr(text, 1, 40) AS text",
+            "doc_id", "doc_id % 20 AS route_id", "text",
             "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int)) AS created_at",
             "doc_id % 17 AS device_id",
         )
@@ -300,13 +299,12 @@ SQL = {
         TIMESTAMP '2024-01-01' + to_minutes(p_partkey) AS created_at FROM part""",
     "sessions": """SELECT session_id, device_id, line_id, status,
         CASE WHEN fresh THEN 'raw' ELSE 'processed' END AS processing_status,
-        CASE WHEN status = 'completed' AND line_id < 3 THEN day + to_hours(10) + to_minutes(8 * rn + session_id % 3) ELSE ts END AS started_at,
+        CASE WHEN status = 'completed' AND line_id < 3 THEN day + to_hours(10) + to_minutes(8 * ((rn - 1) % 90 + 1) + session_id % 3) ELSE ts END AS started_at,
         last_activity_at, CASE WHEN status = 'completed' THEN last_activity_at END AS ended_at
         FROM (SELECT *, row_number() OVER (PARTITION BY line_id, day, status ORDER BY ts, session_id) AS rn FROM (
           SELECT event_id AS session_id, user_id AS device_id, user_id % 5 AS line_id, ts,
             CASE event_type WHEN 'error' THEN 'abandoned' WHEN 'signup' THEN 'in_progress' ELSE 'completed' END AS status,
-            ts + to_minutes(event_id % 50) AS last_activity_at, event_type = 'view' AS fresh, date_trunc('day', ts) AS day FROM events))
-        WHERE status <> 'completed' OR line_id > 2 OR rn <= 90""",
+            ts + to_minutes(event_id % 50) AS last_activity_at, event_type = 'view' AS fresh, date_trunc('day', ts) AS day FROM events))""",
     "trips": """SELECT session_id AS trip_id, session_id, device_id, line_id,
         CASE WHEN session_id % 7 = 0 THEN 'deviated' ELSE 'clean' END AS status, (session_id % 101) / 100.0 AS match_score, started_at
         FROM sessions WHERE status = 'completed' AND processing_status = 'processed'""",
@@ -370,7 +368,7 @@ SQL = {
     "detours": """SELECT o_orderkey AS detour_id, o_custkey % 50 AS line_id, o_orderdate AS last_confirmed_at,
         1 + o_orderkey % 30 AS confirmed_count, CASE WHEN o_orderstatus = 'F' THEN 'expired' ELSE 'active' END AS status FROM orders""",
     "detour_events": "SELECT event_id, user_id AS device_id, user_id % 5 AS line_id, ts AS sent_at FROM events",
-    "descriptors": """SELECT doc_id, doc_id % 20 AS route_id, substr(text, 1, 40) AS text,
+    "descriptors": """SELECT doc_id, doc_id % 20 AS route_id, text,
         TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at, doc_id % 17 AS device_id FROM documents""",
 }
 
