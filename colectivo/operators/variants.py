@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..config import Direction, Variants
 from ..functions import geo
@@ -16,7 +13,7 @@ from ..session import snapshot
 from .frechet import close_pairs, collapse_copies, frechet, shapes_of
 from .grid import box_pairs
 from .loops import connected_components, mutual_best
-from .ordered import with_neighbours
+from .ordered import with_neighbours, with_previous
 from .polyline import arc_lengths, project, resample_even, resample_step, to_segments
 
 
@@ -99,70 +96,57 @@ def direction_groups(points: DataFrame, edges: DataFrame, line: str = "line_id",
     return sides.join(ranked.withColumn("direction_group", place), [line, "side"]).select(line, "trace_id", "direction_group")
 
 
-def _half_compatible(px, py, lx, ly, near_m, step_m, min_overlap_m, excursion_m) -> bool:
-    """Does the track p stay with line l, apart from partial coverage at its ends?"""
-    ax, ay, bx, by = lx[:-1], ly[:-1], lx[1:], ly[1:]
-    dx, dy = bx - ax, by - ay
-    len_sq = dx * dx + dy * dy
-    safe = np.where(len_sq > 0, len_sq, 1.0)
-    t = np.clip(((px[:, None] - ax) * dx + (py[:, None] - ay) * dy) / safe, 0.0, 1.0)
-    gaps = np.hypot(px[:, None] - (ax + t * dx), py[:, None] - (ay + t * dy))
-    hit = gaps.argmin(axis=1)
-    near = gaps[np.arange(len(px)), hit] <= near_m
-    where = np.flatnonzero(near)
-    if len(where) * step_m < min_overlap_m:
-        return False
-    longest = int(np.diff(where).max()) - 1 if len(where) > 1 else 0
-    if longest * step_m > excursion_m:
-        return False
-    lengths = np.sqrt(len_sq)
-    start = np.concatenate([[0.0], np.cumsum(lengths)])
-
-    def attach(i):
-        return start[hit[i]] + t[i, hit[i]] * lengths[hit[i]]
-
-    first, last = where[0], where[-1]
-    if first * step_m > excursion_m and attach(first) > excursion_m:
-        return False
-    return not ((len(px) - 1 - last) * step_m > excursion_m and start[-1] - attach(last) > excursion_m)
-
-
-def half_compatible(cfg: Variants = Variants()):
-    """Arrow function (lon_a, lat_a, lon_b, lat_b, ref_lat) → does a stay with b?"""
-
-    @F.pandas_udf(BooleanType())
-    def judge(lon_a: pd.Series, lat_a: pd.Series, lon_b: pd.Series, lat_b: pd.Series, ref: pd.Series) -> pd.Series:
-        out = []
-        for la, pa, lb, pb, lat0 in zip(lon_a, lat_a, lon_b, lat_b, ref):
-            k = np.cos(np.radians(lat0)) * geo.DEG_M
-            if len(la) < 2 or len(lb) < 2:
-                out.append(False)
-                continue
-            out.append(
-                _half_compatible(
-                    np.asarray(la) * k, np.asarray(pa) * geo.DEG_M, np.asarray(lb) * k, np.asarray(pb) * geo.DEG_M,
-                    cfg.near_m, cfg.resample_m, cfg.min_overlap_m, cfg.max_excursion_m,
-                )
-            )
-        return pd.Series(out)
-
-    return judge
+def _flat(shapes: DataFrame, group: list[str], trace: str, ref: DataFrame) -> DataFrame:
+    """Vertices of shapes in metres: group, trace, k, px, py."""
+    vertex = shapes.select(*group, trace, F.posexplode("path").alias("k", "p")).join(ref, group)
+    px, py = geo.equirect("p.lon", "p.lat", "ref_lat")
+    return vertex.select(*group, trace, "k", px.alias("px"), py.alias("py"))
+
+
+def stays_with(pairs: DataFrame, tracks: DataFrame, lines: DataFrame, ref: DataFrame, group: Sequence[str], cfg: Variants = Variants()) -> DataFrame:
+    """Those ``pairs`` (group, a, b) in which track ``a`` keeps to line ``b``.
+
+    ``tracks``: group, a, path (evenly resampled); ``lines``: group, b, path;
+    ``ref``: group, ref_lat. A track keeps to a line if enough of it lies near,
+    if no stretch between its near points is away for long, and if a long
+    stretch away at one of its ends only goes where the line itself has ended.
+    Paths stay in rows of their own: each vertex meets the segments of its
+    pair's line through grid cells.
+    """
+    on = [*group, "b"]
+    vertices = snapshot(_flat(tracks, list(group), "a", ref))
+    segments = snapshot(to_segments(_flat(lines, list(group), "b", ref), on, "k", "px", "py"))
+    length = segments.groupBy(*on).agg(F.sum("len").alias("line_m"))
+    met = project(pairs.join(vertices, [*group, "a"]), segments, on, cfg.near_m, ["a", "k"])
+    met = snapshot(met.select(*group, "a", "b", "k", "arc_pos"))
+    ends = met.groupBy(*group, "a", "b").agg(
+        F.count(F.lit(1)).alias("near"), F.min(F.struct("k", "arc_pos")).alias("first"), F.max(F.struct("k", "arc_pos")).alias("last")
+    )
+    pair = [*group, "a", "b"]
+    gaps = with_previous(met.select(*pair, "k"), pair, ["k"], ["k"], F.floor(F.col("k") / 65536))
+    away = gaps.groupBy(*pair).agg(F.coalesce(F.max(F.col("k") - F.col("prev_k") - 1), F.lit(0)).alias("away"))
+    size = vertices.groupBy(*group, "a").agg(F.max("k").alias("end"))
+    step, most = F.lit(cfg.resample_m), F.lit(cfg.max_excursion_m)
+    head = (F.col("first.k") * step <= most) | (F.col("first.arc_pos") <= most)
+    tail = ((F.col("end") - F.col("last.k")) * step <= most) | (F.col("line_m") - F.col("last.arc_pos") <= most)
+    judged = ends.join(away, pair).join(size, [*group, "a"]).join(length, on)
+    return judged.where((F.col("near") * step >= cfg.min_overlap_m) & (F.col("away") * step <= most) & head & tail).select(*pair)
 
 
 def compatible_pairs(shapes: DataFrame, group: Sequence[str], cfg: Variants = Variants(), trace: str = "trace_id") -> DataFrame:
-    """Pairs a < b that pass the same-variant test both ways."""
+    """Pairs a < b in which each track stays with the other."""
     group = list(group)
     lon, lat = F.transform("path", lambda p: p["lon"]), F.transform("path", lambda p: p["lat"])
     boxes = shapes.select(
         *group, trace, F.array_min(lon).alias("w"), F.array_max(lon).alias("e"), F.array_min(lat).alias("s"), F.array_max(lat).alias("n")
     )
-    candidates = box_pairs(boxes, group, trace, cfg.near_m / 90_000).select(*group, "a", "b")
-    side = lambda name: shapes.select(*group, F.col(trace).alias(name), F.col("path").alias(f"path_{name}"))
-    ref = shapes.groupBy(*group).agg(F.min(F.array_min(F.transform("path", lambda p: p["lat"]))).alias("ref_lat"))
-    judge = half_compatible(cfg)
-    test = lambda p, q: judge(f"{p}.lon", f"{p}.lat", f"{q}.lon", f"{q}.lat", "ref_lat")
-    rows = candidates.join(side("a"), [*group, "a"]).join(side("b"), [*group, "b"]).join(ref, group)
-    return rows.withColumns({"_ab": test("path_a", "path_b"), "_ba": test("path_b", "path_a")}).where("_ab AND _ba").select(*group, "a", "b")
+    found = snapshot(box_pairs(boxes, group, trace, cfg.near_m / 90_000).select(*group, "a", "b"))
+    both = found.union(found.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
+    ref = shapes.groupBy(*group).agg(F.min(F.array_min(lat)).alias("ref_lat"))
+    named = lambda name: shapes.where(F.size("path") > 1).select(*group, F.col(trace).alias(name), "path")
+    kept = snapshot(stays_with(both, named("a"), named("b"), ref, group, cfg))
+    back = kept.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))
+    return kept.where("a < b").join(back, [*group, "a", "b"], "left_semi")
 
 
 def cluster_by_compatibility(points: DataFrame, group: Sequence[str] = ("line_id", "direction_group"), cfg: Variants = Variants()) -> DataFrame:
@@ -298,15 +282,12 @@ def compatibility_labels(clusters: DataFrame, medoid_shapes: DataFrame, existing
     renaming folds over one small array per line.
     """
     group = list(group)
-    judge = half_compatible(cfg)
-    ref = existing.withColumn("ref_lat", F.element_at("path", 1)["lat"]).withColumnRenamed("path", "old_path")
-    match = (
-        medoid_shapes.join(ref, group)
-        .withColumn("_ok", judge("path.lon", "path.lat", "old_path.lon", "old_path.lat", "ref_lat"))
-        .where("_ok")
-        .groupBy(*group, "cluster")
-        .agg(F.min_by("ramal_label", "place").alias("found"))
-    )
+    olds = existing.select(*group, F.struct("place", "ramal_label").alias("b"), "path")
+    news = medoid_shapes.select(*group, F.col("cluster").alias("a"), "path").where(F.size("path") > 1)
+    ref = existing.groupBy(*group).agg(F.min_by(F.element_at("path", 1)["lat"], "place").alias("ref_lat"))
+    pairs = news.select(*group, "a").join(olds.select(*group, "b"), group)
+    kept = stays_with(pairs, news, olds.where(F.size("path") > 1), ref, group, cfg)
+    match = kept.groupBy(*group, F.col("a").alias("cluster")).agg(F.min("b").alias("b")).select(*group, "cluster", F.col("b.ramal_label").alias("found"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("size"), "cluster"))
     wanted = clusters.withColumn("_rank", rank).join(match, [*group, "cluster"], "left").withColumn(
         "want", F.coalesce("found", F.when(F.col("_rank") == 1, "main").otherwise(F.concat(F.lit("r"), F.col("_rank").cast("string"))))
@@ -337,8 +318,6 @@ def far_runs(flags: DataFrame, keys: Sequence[str], idx: str = "k") -> DataFrame
         F.min(F.when(F.col("near"), F.col(idx))).alias("first_near"), F.max(F.when(F.col("near"), F.col(idx))).alias("last_near"),
         F.max(idx).alias("last_idx"),
     )
-    from .ordered import with_previous
-
     gaps = with_previous(near.select(*keys, idx), keys, [idx], [idx], F.floor(F.col(idx) / 65536))
     inner = gaps.groupBy(*keys).agg(F.coalesce(F.max(F.col(idx) - F.col(f"prev_{idx}") - 1), F.lit(0)).alias("inner_run"))
     return spans.join(inner, list(keys), "left").select(
