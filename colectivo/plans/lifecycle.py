@@ -7,7 +7,9 @@ always an argument, so a run can be repeated.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import astuple, dataclass
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -379,33 +381,53 @@ def import_routes(files: DataFrame, lines: DataFrame, routes: DataFrame) -> tupl
 
 # --- run log -------------------------------------------------------------------
 
+STEP_LOG = "step string, place int, status string, started_at timestamp, ended_at timestamp, stats map<string,string>, error_message string"
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What one step did: its counts, or the reason why it has none."""
+
+    step: str
+    place: int
+    status: str
+    started_at: datetime
+    ended_at: datetime
+    stats: dict[str, str]
+    error_message: str | None
+
+
+def _utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
+def _attempt(place: int, name: str, work: Callable[[], dict | None], clock: Callable[[], datetime]) -> Outcome:
+    begun = clock()
+    try:
+        counts = work() or {}
+    except Exception as exc:  # logged: later steps don't build on this one's result
+        return Outcome(name, place, "failed", begun, clock(), {}, f"{type(exc).__name__}: {exc}")
+    return Outcome(name, place, "completed", begun, clock(), {k: str(v) for k, v in counts.items()}, None)
+
+
 def run_steps(
     spark: SparkSession, order: Sequence[str], steps: dict[str, Callable[..., dict]], requested: Sequence[str] | None = None,
-    params: dict[str, dict] | None = None, trigger: str = "manual", continue_on_error: bool = True, clock: Callable[[], datetime] | None = None,
+    params: dict[str, dict] | None = None, trigger: str = "manual", continue_on_error: bool = True, clock: Callable[[], datetime] = _utc_now,
 ) -> tuple[DataFrame, DataFrame]:
-    """Run steps in their fixed order and log each one.
+    """The run and its log, one row per step that has work, in the fixed order.
 
-    A step returns its counts. A failed step is recorded and, unless told
-    otherwise, the next one runs; the run fails if any step failed. Names
-    without a step are ignored.
+    A step returns its counts. Names without a step, and steps that were not
+    requested, leave no row. With ``continue_on_error`` unset the log ends at
+    the first failure; a run with a failed step is a failed run.
     """
-    clock = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
-    params, began, rows, failed = params or {}, clock(), [], False
-    for place, name in enumerate(order):
-        if requested is not None and name not in requested or name not in steps:
-            continue
-        at, status, stats, error = clock(), "completed", {}, None
-        try:
-            stats = {k: str(v) for k, v in (steps[name](**params.get(name, {})) or {}).items()}
-        except Exception as exc:  # logged, as the next step does not depend on it
-            status, error, failed = "failed", f"{type(exc).__name__}: {exc}", True
-        rows.append((name, place, status, at, clock(), stats, error))
-        if failed and not continue_on_error:
+    begun = clock()
+    wanted = set(order if requested is None else requested) & set(steps)
+    work = {name: partial(steps[name], **(params or {}).get(name, {})) for name in wanted}
+    log: list[Outcome] = []
+    for place, name in ((p, n) for p, n in enumerate(order) if n in work):
+        log.append(_attempt(place, name, work[name], clock))
+        if log[-1].error_message is not None and not continue_on_error:
             break
-    run = spark.createDataFrame(
-        [(trigger, "failed" if failed else "completed", began, clock())], "trigger string, status string, started_at timestamp, ended_at timestamp"
-    )
-    log = spark.createDataFrame(
-        rows, "step string, place int, status string, started_at timestamp, ended_at timestamp, stats map<string,string>, error_message string"
-    )
-    return run, log
+    status = max((o.status for o in log), key="completed failed".split().index, default="completed")
+    run = spark.createDataFrame([(trigger, status, begun, clock())], "trigger string, status string, started_at timestamp, ended_at timestamp")
+    return run, spark.createDataFrame([astuple(o) for o in log], STEP_LOG)
