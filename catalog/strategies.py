@@ -117,14 +117,16 @@ def representative_shapes(t: Tables):
 def user_strategy(t: Tables):
     """A strategy added from outside the package: the longest trip of each line."""
 
-    @plan.register("longest_trip", "Longest trip")
+    own = dict(plan.REGISTRY)
+
+    @plan.register("longest_trip", "Longest trip", registry=own)
     def longest_trip(tr: plan.Traces):
         from colectivo.operators.frechet import shapes_of
 
         paths = shapes_of(tr.points, ["line_id", "trace_id"], "point_index")
         return paths.groupBy("line_id").agg(F.max_by("path", F.struct(F.size("path"), "trace_id")).alias("path")).withColumn("fragment_index", F.lit(0))
 
-    return sized(plan.reconstruct("longest_trip", traces(t)))
+    return sized(plan.reconstruct("longest_trip", traces(t), registry=own))
 
 
 @query("o05_best_candidate", with_tables("""WITH c AS (SELECT line_id, trace_id, point_index % 5 AS support, event_id % 7 AS overlap, event_id % 11 AS error_m, event_id % 3 AS noise, event_id % 13 AS size, trace_id AS eps, point_index AS min_samples FROM trace_points)

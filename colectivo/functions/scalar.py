@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Schedule
 
-# Accented letters and their plain forms, in the same order.
-ACCENT_TABLE = (
-    ("áàâäãåāăą", "a"), ("éèêëēėęě", "e"), ("íìîïīį", "i"), ("óòôöõōő", "o"), ("úùûüūůű", "u"),
-    ("ñńň", "n"), ("çćč", "c"), ("ýÿ", "y"), ("šś", "s"), ("žźż", "z"), ("ď", "d"), ("ť", "t"),
-    ("ř", "r"), ("ğ", "g"),
-)
+def _plain_letters() -> dict[str, str]:
+    """Lower-case letters that canonical decomposition turns into a plain letter and marks, with that letter."""
+    out = {}
+    for letter in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and letter == letter.lower() and base.isalpha() and all(unicodedata.category(m) == "Mn" for m in marks):
+            out[letter] = base
+    return out
+
+
+_PLAIN = _plain_letters()
+
 # Fixed value: words that may precede the number of a line.
 LINE_PREFIX = r"^(linea|line|l\.?)\s*"
 
@@ -22,9 +30,7 @@ DETOUR_SATURATION = 20
 
 
 def strip_accents(text: Column) -> Column:
-    source = "".join(letters for letters, _ in ACCENT_TABLE)
-    target = "".join(plain * len(letters) for letters, plain in ACCENT_TABLE)
-    bare = F.translate(text, source, target)
+    bare = F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values()))
     return F.regexp_replace(bare, "[\\u0300-\\u036f]", "")
 
 

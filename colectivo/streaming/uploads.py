@@ -24,8 +24,11 @@ def session_activity(points: DataFrame, silence: str = "30 minutes", lateness: s
 
 
 def drop_reuploads(points: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Keep the first copy of a point uploaded twice within the watermark (opt-in)."""
-    return points.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["session_id", "ts"])
+    """Keep the first copy of a point uploaded twice within the watermark (opt-in).
+
+    The whole point is the key: two points of one moment with other coordinates both stay.
+    """
+    return points.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(points.columns)
 
 
 def clean_on_end(end_events: DataFrame, clean: Callable[[DataFrame], dict[str, DataFrame]], write: Callable[[dict[str, DataFrame], int], None]):
