@@ -61,31 +61,37 @@ def spread_join(
     how: str = "inner",
     rows_per_key: int = ROWS_PER_KEY,
 ) -> DataFrame:
-    """Equi join whose crowded keys are split over tasks.
-
-    Keys of ``crowded`` with more than ``rows_per_key`` rows get
-    ``ceil(rows / rows_per_key)`` salts; only those keys of ``other`` are
-    copied. Each crowded row has exactly one salt, so results are whole for
-    ``inner`` and ``left_semi``. The salt is a hash of the row, not a random
-    number, so a task that runs again after a lost executor agrees with itself.
+    """Equi join whose crowded keys are split over tasks, whichever side crowds them.
+
+    A key with many rows on a side gets one salt per ``rows_per_key`` of them;
+    the rows of the other side are copied to each of these salts, for that key
+    alone. With salts on both sides a pair of rows meets under one pair of
+    salts, so results are whole. A ``left_semi`` join splits its left side only,
+    since copies of left rows would come out repeatedly. Salts are hashes of
+    the row, not random numbers, so a task that runs again after a lost
+    executor agrees with itself.
     """
     on = list(on)
-    hot = (
-        crowded.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_key)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_key).cast("int").alias("_salts"))
-    )
-    salted = (
-        crowded.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*crowded.columns), F.coalesce("_salts", F.lit(1)).cast("bigint")).cast("int"))
-        .drop("_salts")
-    )
-    copies = (
-        other.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
+
+    def salts_of(df: DataFrame, name: str) -> DataFrame:
+        crowd = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_key)
+        return crowd.select(*on, F.ceil(F.col("_rows") / rows_per_key).cast("int").alias(name))
+
+    hot = salts_of(crowded, "_ls")
+    if how == "inner":
+        hot = hot.join(salts_of(other, "_rs"), on, "full")
+    else:
+        hot = hot.withColumn("_rs", F.lit(1))
+    hot = hot.select(*on, F.coalesce("_ls", F.lit(1)).alias("_ls"), F.coalesce("_rs", F.lit(1)).alias("_rs"))
+
+    def salted_by(df: DataFrame, own: str, far: str) -> DataFrame:
+        met = df.join(hot, on, "left")
+        mine = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1)).cast("bigint")).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(far, F.lit(1)) - 1))
+        pair = lambda m, t: F.struct((m if own == "_ls" else t).alias("l"), (t if own == "_ls" else m).alias("r"))
+        return met.withColumns({"_mine": mine}).withColumn("_theirs", theirs).withColumn("_salt", pair(F.col("_mine"), F.col("_theirs"))).drop("_ls", "_rs", "_mine", "_theirs")
+
+    salted, copies = salted_by(crowded, "_ls", "_rs"), salted_by(other, "_rs", "_ls")
     keys = [*on, "_salt"]
     if condition is None:
         return salted.join(copies, keys, how).drop("_salt")

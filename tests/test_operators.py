@@ -144,3 +144,14 @@ def test_complete_linkage_keeps_apart_what_one_far_pair_divides(spark):
     members = spark.createDataFrame([(0, i) for i in range(1, 7)], "line_id int, trace_id bigint")
     got = {r.trace_id: r.cluster for r in variants.complete_linkage(pairs, members, ["line_id"]).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_spread_join_splits_both_sides(spark):
+    from colectivo.operators.grid import spread_join
+
+    a = spark.range(900).selectExpr("id AS x", "CASE WHEN id < 600 THEN 0 ELSE id END AS cx")
+    b = spark.range(900).selectExpr("id AS y", "CASE WHEN id < 500 THEN 0 ELSE id END AS cx")
+    total = ("count(*)", "sum(x * 7 + y)", "count(DISTINCT x, y)")
+    got = spread_join(a, b, ["cx"], rows_per_key=64)
+    assert got.selectExpr(*total).collect() == a.join(b, "cx").selectExpr(*total).collect()
+    assert spread_join(a, b, ["cx"], None, "left_semi", 64).count() == a.join(b, "cx", "left_semi").count()
