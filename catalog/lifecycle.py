@@ -210,9 +210,9 @@ def run_log(t: Tables):
     SELECT l.line_id, CASE WHEN c.action = 'approve' AND l.status = 'pending' THEN 'approved' ELSE l.status END AS status, CASE WHEN c.action = 'update' THEN 'renamed' ELSE l.name END AS name
     FROM lines l LEFT JOIN c USING (line_id) WHERE c.action IS NULL OR c.action <> 'delete'""", "lines"))
 def line_changes(t: Tables):
-    first = t.raw("lineitem").groupBy(F.col("l_partkey").alias("line_id")).agg(F.min_by(F.struct("l_orderkey", "l_linenumber"), F.struct("l_orderkey", "l_linenumber", "l_shipdate")).alias("c"))
-    changes = first.selectExpr("c.l_orderkey * 10 + c.l_linenumber AS change_id", "line_id", "CASE c.l_linenumber % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'approve' ELSE 'delete' END AS action").selectExpr(
-        "*", "CASE WHEN action = 'update' THEN 'renamed' END AS name", "cast(NULL AS string) AS line_type", "timestamp'2024-01-01 00:00:00' AS at")
+    asked = t.raw("lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS change_id", "l_partkey AS line_id", "CASE l_linenumber % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'approve' ELSE 'delete' END AS action")
+    changes = asked.selectExpr("*", "CASE WHEN action = 'update' THEN 'renamed' END AS name", "cast(NULL AS string) AS line_type", "timestamp'2024-01-01 00:00:00' AS at")
     return ops.change_lines(t.lines, changes)[0].select("line_id", "status", "name")
 
 

@@ -131,16 +131,24 @@ def move_rows(rows: DataFrame, merges: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(changes: DataFrame, key: str) -> DataFrame:
+    """Changes with ``_late``: true for all but the earliest of each id (by time, then change id)."""
+    once = changes.dropDuplicates([key, "change_id"])
+    first = once.groupBy(key).agg(F.min(F.struct("at", "change_id")).alias("_first"))
+    return once.join(first, key).withColumn("_late", F.struct("at", "change_id") > F.col("_first")).drop("_first")
+
+
 def change_lines(lines: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Create, update, approve and delete lines.
 
     ``changes``: change_id, action, line_id, name?, line_type?, at. New lines
     are pending; only pending lines can be approved; unknown ids are rejected.
-    At most one change per line and call.
+    Of several changes of one line the earliest counts, the others are rejected.
     """
-    judged = changes.join(lines.select("line_id", F.col("status").alias("_status")), "line_id", "left").withColumn(
+    judged = _in_order(changes, "line_id").join(lines.select("line_id", F.col("status").alias("_status")), "line_id", "left").withColumn(
         "rejected_because",
-        F.when((F.col("action") == "create") & F.col("_status").isNotNull(), "exists")
+        F.when(F.col("_late"), "later_in_batch")
+        .when((F.col("action") == "create") & F.col("_status").isNotNull(), "exists")
         .when((F.col("action") != "create") & F.col("_status").isNull(), "unknown_line")
         .when((F.col("action") == "approve") & (F.col("_status") != "pending"), "not_pending"),
     )
@@ -159,11 +167,13 @@ def change_sessions(sessions: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     """Start, cancel, resume and assign-device requests on sessions.
 
     ``changes``: change_id, action, session_id, device_id?, at. Cancel and
-    assign need an in-progress session, resume an abandoned one.
+    assign need an in-progress session, resume an abandoned one. Of several
+    requests on one session the earliest counts, the others are rejected.
     """
-    judged = changes.join(sessions.select("session_id", F.col("status").alias("_status")), "session_id", "left").withColumn(
+    judged = _in_order(changes, "session_id").join(sessions.select("session_id", F.col("status").alias("_status")), "session_id", "left").withColumn(
         "rejected_because",
-        F.when((F.col("action") == "start") & F.col("_status").isNotNull(), "exists")
+        F.when(F.col("_late"), "later_in_batch")
+        .when((F.col("action") == "start") & F.col("_status").isNotNull(), "exists")
         .when((F.col("action") != "start") & F.col("_status").isNull(), "unknown_session")
         .when(F.col("action").isin("cancel", "assign") & (F.col("_status") != "in_progress"), "not_in_progress")
         .when((F.col("action") == "resume") & (F.col("_status") != "abandoned"), "not_abandoned"),
