@@ -25,7 +25,8 @@ def outer_rings(relations: DataFrame, paths: DataFrame) -> DataFrame:
 
     ``relations``: zone key, name, members (array of struct<type, ref, role>).
     A ring starts at its least way and takes the way meeting its end, turned as
-    needed, until none is left; rings of at least four points are closed.
+    needed; a chain that stays open goes on at its other end, and the ways left
+    over start further rings. Rings of at least four points are closed.
     """
     members = relations.select("relation_id", "name", F.explode("members").alias("m")).where(
         "m.type = 'way' AND coalesce(m.role, '') IN ('outer', '')"
@@ -38,18 +39,30 @@ def outer_rings(relations: DataFrame, paths: DataFrame) -> DataFrame:
     part = connected_components(pieces, links, ["relation_id"], "way_id")
     left = snapshot(pieces.join(part, ["relation_id", "way_id"]))
     key = ["relation_id", "component"]
-    rings = snapshot(left.where("way_id = component").select(*key, "name", "path"))
-    left = snapshot(left.where("way_id <> component").select(*key, "way_id", "path"))
-    while True:
-        tips = rings.select(*key, "path", snap(F.element_at("path", -1)).alias("tip"))
+    rings = snapshot(left.where("way_id = component").select(*key, "name", "path", F.lit(False).alias("turned")))
+    left = snapshot(left.where("way_id <> component").select(*key, "name", "way_id", "path"))
+    shut = snap(F.element_at("path", 1)) == snap(F.element_at("path", -1))
+    done = snapshot(rings.limit(0))
+    while not rings.isEmpty():
+        tips = rings.where(~shut).select(*key, snap(F.element_at("path", -1)).alias("tip"))
         both = left.select(*key, "way_id", F.col("path").alias("next")).union(left.select(*key, "way_id", F.reverse("path").alias("next")))
-        hits = both.withColumn("tip", snap(F.element_at("next", 1))).join(tips.select(*key, "tip"), [*key, "tip"])
+        hits = both.withColumn("tip", snap(F.element_at("next", 1))).join(tips, [*key, "tip"])
         pick = snapshot(hits.groupBy(*key).agg(F.min(F.struct("way_id", "next")).alias("p")).select(*key, "p.way_id", "p.next"))
-        if pick.isEmpty():
-            break
-        tail = F.slice("next", 2, F.size("next") - 1)
-        rings = snapshot(rings.join(pick.select(*key, "next"), key, "left").select(*key, "name", F.when(F.col("next").isNotNull(), F.concat("path", tail)).otherwise(F.col("path")).alias("path")))
-        left = snapshot(left.join(pick.select(*key, "way_id"), [*key, "way_id"], "left_anti"))
+        if not pick.isEmpty():
+            tail = F.slice("next", 2, F.size("next") - 1)
+            grown = F.when(F.col("next").isNotNull(), F.concat("path", tail)).otherwise(F.col("path"))
+            rings = snapshot(rings.join(pick.select(*key, "next"), key, "left").select(*key, "name", grown.alias("path"), "turned"))
+            left = snapshot(left.join(pick.select(*key, "way_id"), [*key, "way_id"], "left_anti"))
+            continue
+        # Nothing fits any end: open chains go on at their other end, the rest is done and a new ring begins with the least way left.
+        over = snapshot(rings.where(shut | F.col("turned")))
+        done = snapshot(done.unionByName(over))
+        turn = rings.where(~(shut | F.col("turned"))).select(*key, "name", F.reverse("path").alias("path"), F.lit(True).alias("turned"))
+        seed = left.join(over.select(*key), key, "left_semi").groupBy(*key).agg(F.min(F.struct("way_id", "name", "path")).alias("s"))
+        seed = snapshot(seed.select(*key, "s.way_id", "s.name", "s.path"))
+        rings = snapshot(turn.unionByName(seed.select(*key, "name", "path", F.lit(False).alias("turned"))))
+        left = snapshot(left.join(seed.select(*key, "way_id"), [*key, "way_id"], "left_anti"))
+    rings = done.drop("turned")
     closed = F.when(F.element_at("path", 1) == F.element_at("path", -1), F.col("path")).otherwise(F.concat("path", F.slice("path", 1, 1)))
     return rings.where(F.size("path") >= 4).withColumn("path", closed).where(geo.ring_area("path") > 0)
 

@@ -155,3 +155,15 @@ def test_spread_join_splits_both_sides(spark):
     got = spread_join(a, b, ["cx"], rows_per_key=64)
     assert got.selectExpr(*total).collect() == a.join(b, "cx").selectExpr(*total).collect()
     assert spread_join(a, b, ["cx"], None, "left_semi", 64).count() == a.join(b, "cx", "left_semi").count()
+
+
+def test_outer_rings_keep_every_way(spark):
+    from colectivo.sources.zones import outer_rings
+
+    a, b = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]
+    ways = {1: a[1:3], 2: [a[2], a[3], a[0]], 3: a[:2], 4: [*b, b[0]], 5: [(9.0, 9.0), (9.0, 8.0)], 6: [(9.0, 9.0), (8.0, 9.0)], 7: [(8.0, 9.0), (8.0, 8.0)]}
+    member = "relation_id long, name string, members array<struct<type: string, ref: long, role: string>>"
+    relations = spark.createDataFrame([(1, "z", [("way", i, "outer") for i in ways])], member)
+    paths = spark.createDataFrame([(i, [{"lon": x, "lat": y} for x, y in w]) for i, w in ways.items()], "way_id long, path array<struct<lon: double, lat: double>>")
+    rings = [{(q["lon"], q["lat"]) for q in r["path"]} for r in outer_rings(relations, paths).collect()]
+    assert sorted(map(sorted, rings)) == sorted(map(sorted, [set(a), set(b), {(9.0, 9.0), (9.0, 8.0), (8.0, 9.0), (8.0, 8.0)}]))
