@@ -16,7 +16,7 @@ from .common import components, packed, text_chunks, unpacked
 #: Words of a shingle and similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
 #: Permutations (each gives a minimum and a maximum), values in a band, members compared at once, bytes of text at once.
-PERMUTATIONS, BAND, BLOCK, CHUNK_BYTES = 64, 4, 256, 2 << 20
+PERMUTATIONS, BAND, BLOCK, CHUNK_BYTES = 64, 4, 256, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -132,26 +132,29 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """One link for each two components of a block that have one: ``a, b``.
 
-    Common shingles of all pairs are counted by products of 0/1 matrices, some
-    columns at a time, so memory does not grow with the sets.
+    Rows with ``stray`` are compared with the others. Common shingles are
+    counted by products of 0/1 matrices, some columns at a time, so memory
+    does not grow with the sets.
     """
-    n = group["n"].to_numpy()
+    side = group["stray"].to_numpy()
+    n = group["s"].map(len).to_numpy()
     comp, ids = group["comp"].to_numpy(), group["id"].to_numpy()
     flat = np.concatenate(group["s"].to_numpy())
     row = np.repeat(np.arange(len(group)), n)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     column = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]))
-    common = np.zeros((len(group), len(group)), np.float64)
+    common = np.zeros((int(side.sum()), int((~side).sum())), np.float64)
     width = 1 << 14
     for base in range(0, int(column[-1]) + 1, width):
         lo, hi = np.searchsorted(column, [base, base + width])
-        part = np.zeros((len(group), width), np.float32)
+        part = np.zeros((len(group), min(width, int(column[-1]) + 1 - base)), np.float32)
         part[row[lo:hi], column[lo:hi] - base] = 1
-        common += part @ part.T
-    linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comp[:, None] < comp[None, :])
+        common += part[side] @ part[~side].T
+    p, q = np.flatnonzero(side), np.flatnonzero(~side)
+    linked = (100 * common >= percent * (n[p][:, None] + n[q][None, :] - common)) & (comp[p][:, None] != comp[q][None, :])
     a, b = np.nonzero(linked)
-    found = pd.DataFrame({"a": ids[a], "b": ids[b], "ca": comp[a], "cb": comp[b]})
+    found = pd.DataFrame({"a": ids[p[a]], "b": ids[q[b]], "ca": comp[p[a]], "cb": comp[q[b]]})
     return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
 
 
@@ -170,9 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. In each bucket of a band one pivot, the member that meets most others
        elsewhere too, is confirmed with every member on the full sets. A group
        of copies thus hangs together after as many comparisons as members.
-    3. Buckets whose members still lie in several components are compared in
-       full, in blocks of at most 256 x 256 members of a bucket, and each block
-       returns at most one link for two components. No bucket is left out.
+    3. In buckets whose members still lie in several components, those apart
+       from the pivot's component are compared with all members, in blocks of
+       about 256 x 256, and each block returns at most one link for two
+       components. No bucket is left out.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = snapshot(_signed(text, words))
@@ -197,14 +201,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     comp = F.coalesce("component", "id").alias("comp")
     placed = snapshot(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "m", comp))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    left = placed.join(snapshot(mixed), "key").select("key", "id", "n", "comp", F.explode(pairs).alias("at")).select("key", "at.i", "at.j", "id", "n", "comp")
-    more = left.join(sets, "id").groupBy("key", "i", "j").applyInPandas(
-        lambda g: block_links(g.assign(n=g["s"].map(len)), percent), "a long, b long"
-    )
+    main = F.max(F.when(F.col("id") == F.col("pivot"), F.col("comp"))).alias("main")
+    mixed = placed.join(pivot.select("key", "pivot"), "key").groupBy("key").agg(main, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    apart = placed.join(snapshot(mixed.select("key", "main")), "key").withColumn("stray", F.col("comp") != F.col("main"))
+    cuts = snapshot(apart.groupBy("key").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all")))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut = apart.join(cuts, "key")
+    left = cut.where("stray").select("key", own("strays").alias("i"), spread("all").alias("j"), "id", "comp", F.lit(True).alias("stray"))
+    right = cut.select("key", spread("strays").alias("i"), own("all").alias("j"), "id", "comp", F.lit(False).alias("stray"))
+    more = left.union(right).join(sets, "id").groupBy("key", "i", "j").applyInPandas(lambda g: block_links(g, percent), "a long, b long")
     links = links.union(snapshot(more.distinct()))
 
     same = linked.select("id", "c", "d").join(classes.select("c", "d", F.col("id").alias("rep")), ["c", "d"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
