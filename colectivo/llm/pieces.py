@@ -26,7 +26,7 @@ from .common import packed, text_chunks, unpacked
 
 BLANK = "▁"
 #: Bytes of text taken at once, longest unit that runs with others in step, slots that remember weighed pairs.
-CHUNK_BYTES, STEP_CHARS, PAIR_SLOTS = 4 << 20, 40, 1 << 21
+CHUNK_BYTES, STEP_CHARS, PAIR_SLOTS = 1 << 20, 40, 1 << 21
 _INF = float("inf")
 
 
@@ -252,12 +252,12 @@ class Transducer:
             good = (np.maximum.reduceat(codes, starts) <= known) & (codes[starts] == symbol[ord(BLANK)]) & ~second
             fast, starts = fast[good], starts[good]
         n, longest = len(fast), int(size[fast].max()) if len(fast) else 0
-        grid = np.zeros((longest + self.longest + 1, n), np.int64)
+        grid = np.zeros((longest + self.longest + 1, n), np.int16)
         for j in range(longest):
             rows = np.flatnonzero(size[fast] > j)
             grid[j, rows] = codes[starts[rows] + j]
         last = np.full((longest + 1, n), -1, np.int32)
-        length = np.zeros((longest + 1, n), np.int64)
+        length = np.zeros((longest + 1, n), np.uint8)
         for j in range(longest):
             rows = np.flatnonzero((last[j] >= 0) & (size[fast] > j)) if j else np.arange(n)
             node = np.zeros(len(rows), np.int64)
@@ -355,7 +355,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text") -> DataFra
     them returns the text. A null or empty text has an empty list and is a
     round trip. ``model`` is a path that every executor can read. Repeated
     rows, null ids and further columns are kept; columns named like a result
-    are replaced. Arrow batches are cut at about four megabytes of text, and
+    are replaced. Arrow batches are cut at about one megabyte of text, and
     the distinct words of a batch take their steps through the transducer
     together; long words and those with characters beyond Latin go one by one.
     """
