@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,3 +72,12 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iter
             end = max(start + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
