@@ -12,6 +12,8 @@ from ..session import snapshot
 from .common import packed, unpacked
 
 DIMS, ROUNDS, TEMPER, SEED = ("source", "lang", "topic"), 10, 0.9, "mix-1"
+#: Token budget of the kept rows, as a share of all tokens.
+BUDGET = 0.8
 RESULT = ("n_tokens", "topic", "weight", "keep_probability", "kept")
 #: Token weights: words between ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -65,6 +67,33 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame]
     return snapshot(met.select(*dims, "base", weight.alias("weight")))
 
 
+def keep_rates(raked: DataFrame, budget: float | None = BUDGET) -> DataFrame:
+    """``raked`` with ``keep_probability`` and ``clamped``, which marks the cells whose rows are all kept.
+
+    The probability is min(1, c * weight), with c such that the expected tokens
+    are ``budget`` of all: a cell of a very large weight is clamped at 1 and
+    scales nobody else down. Rows are not repeated, so a clamped cell stays
+    below its target. Expected tokens are concave in c and linear between the
+    clamps, so each step from the left ends at or before the c that is wanted,
+    and the last one meets it; a step is one sum over the cells. Without a
+    budget, c is 1 over the largest weight, which meets all targets.
+    """
+    if budget is None:
+        c = 1.0 / (raked.agg(F.max("weight")).first()[0] or 1.0)
+    else:
+        c, full = 0.0, -1
+        while True:
+            at = F.col("weight") * F.lit(c) >= 1
+            n, whole, held, slope = raked.agg(
+                F.count_if(at), F.sum("base"), F.sum(F.when(at, F.col("base"))), F.sum(F.when(~at, F.col("base") * F.col("weight")))
+            ).first()
+            if n == full or not slope:
+                break
+            c, full = max(c, (budget * whole - (held or 0.0)) / slope), n
+    rate = F.least(F.lit(1.0), F.col("weight") * F.lit(c))
+    return raked.select("*", rate.alias("keep_probability"), (rate >= 1).alias("clamped"))
+
+
 def mix(
     docs: DataFrame,
     targets: Mapping[str, DataFrame] | None = None,
@@ -74,13 +103,14 @@ def mix(
     rounds: int = ROUNDS,
     temper: float = TEMPER,
     seed: str = SEED,
+    budget: float | None = BUDGET,
 ) -> DataFrame:
     """Every row of ``docs`` plus ``n_tokens, topic, weight, keep_probability, kept``.
 
     ``weight`` is the raked factor of the row's cell (source, language, topic);
-    ``keep_probability`` is the weight over the largest weight, so the tokens
-    of the kept rows have the target shares in expectation and nothing has to
-    be repeated. A row is kept when a uniform number made from its id and the
+    ``keep_probability`` comes from ``keep_rates``: in proportion to the weight,
+    at most 1, and such that the kept rows hold ``budget`` of all tokens in
+    expectation; nothing is repeated. A row is kept when a uniform number made from its id and the
     seed is below that probability; equal ids are kept or dropped together,
     and a null id has a number too. Words are counted over whole texts; a null
     or empty text has 0 tokens, and a cell without tokens has weight and
@@ -98,8 +128,7 @@ def mix(
     )
     cells = snapshot(rows.groupBy(*dims).agg(F.sum("n_tokens").cast("double").alias("base")))
     raked = rake(cells.where("base > 0"), dims, targets, rounds, temper)
-    top = raked.agg(F.max("weight")).first()[0] or 1.0
-    wide = raked.select(*(F.col(d).alias(f"_{d}") for d in dims), "weight", (F.col("weight") / top).alias("keep_probability"))
+    wide = keep_rates(raked, budget).select(*(F.col(d).alias(f"_{d}") for d in dims), "weight", "keep_probability")
     on = reduce(lambda a, d: a & F.col(d).eqNullSafe(F.col(f"_{d}")), dims, F.lit(True))
     unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("key", F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     met = rows.join(wide, on, "left").withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "keep_probability": F.coalesce("keep_probability", F.lit(1.0))})

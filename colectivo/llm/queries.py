@@ -27,7 +27,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_table(spark, sf_dir, "documents"))
+    out = mixing.mix(_table(spark, sf_dir, "documents"), budget=None)  # the form its SQL states
     return out.select(
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("keep_probability", 6).alias("keep_probability"), "kept"
     )

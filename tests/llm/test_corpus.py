@@ -90,6 +90,29 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(frame(spark, [None, ""])).where("kept").count() == 2
 
 
+def test_mixing_stray_cell(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randrange(5, 60)), rng.choice(["en", "en", "de"]), rng.choice("aaabbc")) for i in range(1500)]
+    schema = "doc_id long, text string, lang string, source string"
+    before = by_id(mixing.mix(spark.createDataFrame(rows, schema)))
+    after = by_id(mixing.mix(spark.createDataFrame([*rows, (-1, "one stray row", "xx", "stray")], schema)))
+    assert after[-1]["kept"] and after[-1]["keep_probability"] == 1
+    assert sum(before[i]["kept"] != after[i]["kept"] for i in before) <= 0.01 * len(rows)
+    for out in (before, after):
+        tokens = sum(r["n_tokens"] for r in out.values())
+        assert abs(sum(r["n_tokens"] * r["keep_probability"] for r in out.values()) / tokens - mixing.BUDGET) < 1e-6
+        assert abs(sum(r["n_tokens"] for r in out.values() if r["kept"]) / tokens - mixing.BUDGET) < 0.05
+
+
+def test_mixing_rates(spark):
+    cells = spark.createDataFrame([(10.0, 40.0), (100.0, 2.0), (390.0, 1.0), (500.0, 0.5), (50.0, 0.0)], "base double, weight double")
+    for budget in (0.01, 0.3, 0.8, 0.95, 1.0):
+        out = mixing.keep_rates(cells, budget).collect()
+        assert abs(sum(r["base"] * r["keep_probability"] for r in out) - min(1050 * budget, 1000)) < 1e-6
+        c = [r["keep_probability"] / r["weight"] for r in out if r["weight"] and not r["clamped"]]
+        assert not c or max(c) - min(c) < 1e-12
+
+
 # -- vectors
 
 
