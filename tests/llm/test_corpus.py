@@ -167,6 +167,23 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [16, 0])
+def test_near_vectors_dense_label(spark, copies, monkeypatch):
+    if not copies:  # sorted passes, over many partitions
+        monkeypatch.setattr(vectors, "PAIR_ROWS", (4, 4))
+    rng = np.random.default_rng(14)
+    x = unit(rng.standard_normal(64) + 0.25 * rng.standard_normal((6000, 64)))
+    for i in range(0, 600, 2):  # isolated pairs
+        off = rng.standard_normal(64)
+        off = unit((off - off @ x[i] * x[i])[None])[0]
+        x[i + 1] = 0.982 * x[i] + np.sqrt(1 - 0.982**2) * off
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
+    near = (x @ x.T >= 0.98).sum(axis=1) - 1
+    got = by_id(vectors.near_vectors(docs, copies=copies), "vec_id")
+    found, there = sum(r["n_links"] for r in got.values()), near.sum()
+    assert there >= 600 and (found == there if copies else 0.99 * there <= found <= there)
+
+
 # -- near-duplicate documents
 
 
