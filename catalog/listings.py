@@ -54,7 +54,7 @@ def subscribers(t: Tables):
     people = t.raw("customer")
     subs = people.selectExpr("c_custkey AS device_id", "c_custkey % 5 AS line_id")
     devices = people.selectExpr("c_custkey AS device_id", "CASE WHEN c_acctbal >= 0 THEN 'token' END AS push_token")
-    reports = t.detour_events.where("event_id % 50 = device_id % 50").selectExpr("event_id AS report_id", "line_id", "device_id AS reporter")
+    reports = t.detour_events.selectExpr("event_id AS report_id", "line_id", "device_id AS reporter")
     return ops.subscribers(reports, subs, devices).select("report_id", "device_id")
 
 

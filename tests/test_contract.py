@@ -30,3 +30,10 @@ def test_against_sql(spark, name):
     cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(cols)
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cur.fetchall(), cols)
+
+
+def test_every_report_reaches_its_subscribers(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id").collect()
+    people = [r["c_custkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").where("c_acctbal >= 0").collect()]
+    want = sorted((e["event_id"], p) for e in events for p in people if p % 5 == e["user_id"] % 5 and p != e["user_id"])
+    assert sorted(map(tuple, contract.queries()["j15_subscribers"](spark, SF).collect())) == want
