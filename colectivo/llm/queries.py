@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, minhash, mixing, pieces, substrings, token_counts, toxicity, vectors
+from . import language_id, line_dedup, manifest, minhash, mixing, pieces, substrings, token_counts, toxicity, vectors
 
 
 def tokenizer(name: str) -> str:
@@ -75,6 +75,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether its copy without line feeds (one document in two) still leads to the root."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    sent = F.when(hit, manifest.leaf_of(*(F.col(f) for f in fields[:-1]), F.replace("text", F.lit("\n"), F.lit(""))))
+    made = manifest.manifest(_table(spark, sf_dir, "documents"), fields, carry={"sent": sent})
+    root = manifest.folded(F.coalesce("sent", "leaf"), F.col("proof"))
+    return made.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), root.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -86,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
+    "op12_manifest": op12_manifest,
 }
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op4_near_vectors": vectors.SQL_NEAR, "op5_minhash": minhash.SQL, "op7_substrings": substrings.SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_mixing": mixing.SQL, "op4_near_vectors": vectors.SQL_NEAR, "op5_minhash": minhash.SQL, "op7_substrings": substrings.SQL, "op12_manifest": manifest.SQL}
