@@ -30,6 +30,14 @@ def unpacked(row: str, df: DataFrame, *taken: str) -> list[Column]:
     return [F.col(f"{row}.`{c}`").alias(c) for c in df.columns if c.lower() not in names]
 
 
+def with_text(row: str, df: DataFrame, text: str, column: str | None, *taken: str) -> list[Column]:
+    """The columns of ``df`` in their order when ``row`` was packed without its text, which is now in ``column`` (or nowhere)."""
+    names = {t.lower() for t in taken}
+    place = {text.lower(): F.col(column) if column else None}
+    kept = [(c, place.get(c.lower(), F.col(f"{row}.`{c}`"))) for c in df.columns if c.lower() not in names]
+    return [col.alias(c) for c, col in kept if col is not None]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges (a, b)``; the component is its least node.
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_chunks, unpacked
+from .common import packed, text_chunks, unpacked, with_text
 
 BLANK = "▁"
 #: Bytes of text taken at once, longest unit that runs with others in step, slots that remember weighed pairs.
@@ -91,14 +92,29 @@ class Transducer:
 
     def merges(self, text: str) -> list[tuple[str, str | None, str | None]]:
         """Symbols of ``text`` after all merges, each with the two parts it was last made of."""
-        parts: list[tuple[str, str | None, str | None]] = [(c, None, None) for c in text]
-        while len(parts) > 1:
-            best = min(((self.cost[i], k) for k in range(len(parts) - 1) if (i := self.normal.get(parts[k][0] + parts[k + 1][0])) is not None), default=None)
-            if best is None:
-                break
-            k = best[1]
-            parts[k : k + 2] = [(parts[k][0] + parts[k + 1][0], parts[k][0], parts[k + 1][0])]
-        return parts
+        parts: list[tuple[str, str | None, str | None] | None] = [(c, None, None) for c in text]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                left, right = parts[k][0], parts[after[k]][0]
+                if (i := self.normal.get(left + right)) is not None:
+                    heappush(heap, (self.cost[i], k, left, right))
+
+        for k in range(len(parts)):
+            offer(k)
+        while heap:  # cheapest merge first, of equal ones the leftmost; offers whose parts have changed are stale
+            _, k, left, right = heappop(heap)
+            if parts[k] is None or parts[k][0] != left or after[k] >= len(parts) or parts[after[k]][0] != right:
+                continue
+            gone = after[k]
+            parts[k], parts[gone], after[k] = (left + right, left, right), None, after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [part for part in parts if part is not None]
 
     def spine(self, token: str) -> tuple[list, list] | None:
         """Parts of a token along its left and right edge, each with the cost at which it is merged away.
@@ -139,7 +155,7 @@ class Transducer:
 
     def _pair(self, a: str, b: str) -> bool:
         if (a, b) not in self._stable:
-            if len(self._stable) > PAIR_SLOTS // 4:
+            if len(self._stable) > PAIR_SLOTS // 64:
                 self._stable.clear()
             self._stable[a, b] = self.stable(a, b)
         return self._stable[a, b]
@@ -215,7 +231,7 @@ class Transducer:
                     child.append({})
                     token.append(-1)
                 token[child[0][s]] = self.byte[ord(c)]
-        table = np.zeros((len(child), width), np.int32)
+        table = np.zeros((len(child), width), np.uint16 if len(child) < 1 << 16 else np.int32)
         for node, steps in enumerate(child):
             for s, to in steps.items():
                 table[node, s] = to
@@ -262,7 +278,7 @@ class Transducer:
             rows = np.flatnonzero((last[j] >= 0) & (size[fast] > j)) if j else np.arange(n)
             node = np.zeros(len(rows), np.int64)
             for d in range(min(self.longest, longest - j)):
-                node = table[node * width + grid[j + d, rows]]
+                node = table[node * width + grid[j + d, rows]].astype(np.int64)
                 on = np.flatnonzero(node)
                 rows, node = rows[on], node[on]
                 if not len(rows):
@@ -347,7 +363,7 @@ def transducer(path: str) -> Transducer:
     return _LOADED[path]
 
 
-def encode_texts(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Every row of ``docs`` plus ``piece_ids`` (array of int) and ``round_trip``.
 
     ``piece_ids`` are the ids of the whole text, as the model's own library
@@ -355,12 +371,13 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text") -> DataFra
     them returns the text. A null or empty text has an empty list and is a
     round trip. ``model`` is a path that every executor can read. Repeated
     rows, null ids and further columns are kept; columns named like a result
-    are replaced. Arrow batches are cut at about one megabyte of text, and
+    are replaced. Without ``keep_text`` the text column is left out, and texts
+    don't come back from Python. Arrow batches are cut at about one megabyte of text, and
     the distinct words of a batch take their steps through the transducer
     together; long words and those with characters beyond Latin go one by one.
     """
     taken = ("piece_ids", "round_trip")
-    rows = docs.select(packed(docs, *taken).alias("row"), F.col(text_col).alias("_t"))
+    rows = docs.select(packed(docs, *taken, text_col).alias("row"), F.col(text_col).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
@@ -368,10 +385,11 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text") -> DataFra
             texts = batch.column(1).fill_null("")
             ids = machine.encode(texts)
             same = pc.equal(machine.decode(ids), texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, same], names=["row", *taken])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], ids, same], names=["row", *["_t"] * keep_text, *taken])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, piece_ids array<int>, round_trip boolean")
-    return out.select(*unpacked("row", docs, *taken), *taken)
+    text = "_t string, " if keep_text else ""
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {text}piece_ids array<int>, round_trip boolean")
+    return out.select(*with_text("row", docs, text_col, "_t" if keep_text else None, *taken), *taken)
 
 
 def decode_texts(rows: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
