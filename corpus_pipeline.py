@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document that is left."""
-    out = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), tokenizer("piece_bpe_32k.model"))
+    out = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), tokenizer("piece_bpe_32k.model"), keep_text=False)
     return out.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", "round_trip")
 
 
