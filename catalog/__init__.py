@@ -35,6 +35,7 @@ def load() -> None:
         geometry,
         lifecycle,
         listings,
+        nightly,
         overlap,
         routing,
         schedules,

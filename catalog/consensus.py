@@ -11,7 +11,7 @@ from colectivo.operators import divergence, frechet, repair, support, variants
 from colectivo.operators.polyline import resample_step
 from colectivo.plans import consensus as plan
 from colectivo.session import snapshot
-from fixtures import Tables, point_seg, with_tables
+from fixtures import Tables, hav, point_seg, with_tables
 
 LANE = ["line_id", "cluster"]
 
@@ -45,12 +45,39 @@ COVER = """ref AS (SELECT line_id, trace_id % 3 AS cluster, min(lat) AS lat0, co
     sup AS (SELECT *, weight / CAST(greatest(coverage, 1) AS DOUBLE) AS share FROM cov)"""
 
 
-@query("g01_travel_directions")
+REFERENCE = f"""stp AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM trace_points WINDOW w AS (PARTITION BY trace_id ORDER BY point_index)),
+    rf AS (SELECT line_id, trace_id FROM stp GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY coalesce(sum({hav('lon', 'lat', 'lon2', 'lat2')}), 0) DESC, trace_id) = 1),
+    r0 AS (SELECT p.line_id, p.lat AS lat0 FROM trace_points p JOIN rf USING (line_id, trace_id) WHERE point_index = 0),
+    sg AS (SELECT line_id, seg, x1, y1, x2, y2, len, sum(len) OVER (PARTITION BY line_id ORDER BY seg) - len AS pos FROM (
+      SELECT s.line_id, s.point_index AS seg, lon * cos(radians(lat0)) * 111320.0 AS x1, lat * 111320.0 AS y1, lon2 * cos(radians(lat0)) * 111320.0 AS x2, lat2 * 111320.0 AS y2, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len
+      FROM stp s JOIN rf USING (line_id, trace_id) JOIN r0 USING (line_id) WHERE lon2 IS NOT NULL) WHERE len > 0),
+    cnt AS (SELECT line_id, trace_id, count(*) AS n, greatest(1, count(*) // 50) AS step FROM trace_points GROUP BY 1, 2),
+    smp AS (SELECT p.line_id, p.trace_id, p.point_index, lon * cos(radians(lat0)) * 111320.0 AS px, lat * 111320.0 AS py FROM trace_points p JOIN cnt USING (line_id, trace_id) JOIN r0 USING (line_id) WHERE point_index % step = 0),
+    hit AS (SELECT m.line_id, m.trace_id, m.point_index, {point_seg('px', 'py', 'x1', 'y1', 'x2', 'y2')} AS d, seg, pos + len * least(1.0, greatest(0.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (len * len))) AS arc FROM smp m JOIN sg USING (line_id)),
+    nr AS (SELECT line_id, trace_id, point_index, arg_min(arc, (d, seg)) AS arc FROM hit WHERE d <= 60.0 GROUP BY 1, 2, 3),
+    tv AS (SELECT line_id, trace_id, count(*) AS near, arg_max(arc, point_index) - arg_min(arc, point_index) AS travel FROM nr GROUP BY 1, 2),
+    way AS (SELECT line_id, trace_id, CASE WHEN near / ceil(n / step) >= 0.3 AND near >= 2 AND abs(travel) >= 150.0 THEN travel > 0 END AS with_reference FROM cnt LEFT JOIN tv USING (line_id, trace_id))"""
+
+
+@query("g01_travel_directions", with_tables(f"WITH {REFERENCE} SELECT line_id, trace_id, with_reference FROM way", "trace_points"))
 def travel_directions(t: Tables):
     return variants.travel_directions(points(t))
 
 
-@query("g02_direction_groups")
+@query("g02_direction_groups", with_tables(f"""WITH RECURSIVE {REFERENCE},
+    own AS (SELECT DISTINCT line_id, trace_id, edge_id, forward FROM trace_edges), sizes AS (SELECT line_id, trace_id, count(*) AS n FROM own GROUP BY 1, 2),
+    shared AS (SELECT a.line_id, a.trace_id AS a, b.trace_id AS b, count(*) AS shared FROM own a JOIN own b ON b.line_id = a.line_id AND b.edge_id = a.edge_id AND b.forward = a.forward AND b.trace_id <> a.trace_id GROUP BY 1, 2, 3),
+    known AS (SELECT line_id, trace_id, CASE WHEN with_reference THEN 'forward' ELSE 'backward' END AS side FROM way WHERE with_reference IS NOT NULL),
+    best AS (SELECT s.line_id, s.a AS trace_id, max(s.shared) AS shared, arg_max(side, (s.shared, side)) AS side FROM shared s JOIN known k ON k.line_id = s.line_id AND k.trace_id = s.b
+      WHERE (s.line_id, s.a) IN (SELECT (line_id, trace_id) FROM way WHERE with_reference IS NULL) GROUP BY 1, 2),
+    joined AS (SELECT line_id, trace_id, side FROM best JOIN sizes USING (line_id, trace_id) WHERE shared >= 5 OR shared / CAST(n AS DOUBLE) >= 0.3),
+    alone AS (SELECT line_id, trace_id FROM way WHERE with_reference IS NULL AND (line_id, trace_id) NOT IN (SELECT (line_id, trace_id) FROM joined)),
+    tie AS (SELECT s.line_id, a, b FROM shared s JOIN alone x ON x.line_id = s.line_id AND x.trace_id = a JOIN alone y ON y.line_id = s.line_id AND y.trace_id = b JOIN sizes z ON z.line_id = s.line_id AND z.trace_id = a WHERE shared >= 5 OR shared / CAST(n AS DOUBLE) >= 0.3),
+    ties AS (SELECT line_id, a, b FROM tie UNION SELECT line_id, b, a FROM tie),
+    reach AS (SELECT line_id, trace_id, trace_id AS far FROM alone UNION SELECT r.line_id, r.trace_id, t.b FROM reach r JOIN ties t ON t.line_id = r.line_id AND t.a = r.far),
+    sides AS (SELECT * FROM known UNION ALL SELECT * FROM joined UNION ALL SELECT line_id, trace_id, 'part-' || min(far) FROM reach GROUP BY 1, 2),
+    place AS (SELECT line_id, side, row_number() OVER (PARTITION BY line_id ORDER BY count(*) DESC, min(trace_id)) - 1 AS direction_group FROM sides GROUP BY 1, 2)
+    SELECT line_id, trace_id, CAST(direction_group AS INTEGER) AS direction_group FROM sides JOIN place USING (line_id, side)""", "trace_points", "trace_edges"))
 def direction_groups(t: Tables):
     return variants.direction_groups(points(t), t.trace_edges)
 
@@ -124,16 +151,25 @@ def pruned_arcs(t: Tables):
     return support.prune(nodes, arcs, LANE)[1].select("line_id", "cluster", "u", "v", "support")
 
 
+def references(t: Tables):
+    """Points of the longest trace of each lane."""
+    own = laned(points(t)).withColumn("lane", F.struct(*LANE))
+    longest = variants.reference_traces(own.select("lane", "trace_id", "point_index", "lon", "lat"), "lane")
+    return snapshot(own.join(longest, (own["lane"] == longest["lane"]) & (own["trace_id"] == longest["reference"]), "left_semi").select(*LANE, "point_index", "lon", "lat"))
+
+
 def placed(t: Tables):
     edges, shapes, nodes, arcs = graph(t)
     kept, alive, _ = support.prune(nodes, arcs, LANE)
     kept, alive = snapshot(kept), snapshot(alive)
-    reference = snapshot(laned(points(t)).where("trace_id < 15").select(*LANE, "point_index", "lon", "lat"))
+    reference = references(t)
     return edges, shapes, kept, alive, snapshot(support.arc_positions(kept, shapes, reference, LANE))
 
 
 @query("g12_arc_positions", with_tables(f"""WITH {NODES}, {COVER}, kept AS (SELECT line_id, cluster, node FROM sup WHERE weight >= 2 OR share >= 0.5),
-    rp AS (SELECT line_id, trace_id % 3 AS cluster, point_index, first_value(lat) OVER w AS lat0, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM trace_points WHERE trace_id < 15 WINDOW w AS (PARTITION BY trace_id ORDER BY point_index)),
+    step AS (SELECT *, first_value(lat) OVER w AS lat0, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM trace_points WINDOW w AS (PARTITION BY trace_id ORDER BY point_index)),
+    longest AS (SELECT line_id, trace_id % 3 AS cluster, trace_id FROM step GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY line_id, trace_id % 3 ORDER BY coalesce(sum({hav('lon', 'lat', 'lon2', 'lat2')}), 0) DESC, trace_id) = 1),
+    rp AS (SELECT step.*, cluster FROM step JOIN longest USING (line_id, trace_id)),
     rs AS (SELECT *, lon * cos(radians(lat0)) * 111320.0 AS x1, lat * 111320.0 AS y1, lon2 * cos(radians(lat0)) * 111320.0 AS x2, lat2 * 111320.0 AS y2 FROM rp WHERE lon2 IS NOT NULL),
     md AS (SELECT k.*, r.lat0, g.lon2 * cos(radians(r.lat0)) * 111320.0 AS px, g.lat2 * 111320.0 AS py FROM kept k JOIN (SELECT DISTINCT line_id, cluster, lat0 FROM rp) r USING (line_id, cluster) JOIN edge_geometry g ON g.edge_id = k.node // 2)
     SELECT m.line_id, m.cluster, m.node, round(min({point_seg('m.px', 'm.py', 's.x1', 's.y1', 's.x2', 's.y2')}), 3) AS offset_m FROM md m JOIN rs s USING (line_id, cluster) GROUP BY 1, 2, 3""",
@@ -143,7 +179,7 @@ def arc_positions(t: Tables):
     kept, _, _ = support.prune(nodes, arcs, LANE)
     from colectivo.operators.polyline import project, to_segments
 
-    reference = laned(points(t)).where("trace_id < 15")
+    reference = references(t)
     lat0 = reference.where("point_index = 0").select(*LANE, F.col("lat").alias("ref_lat"))
     flat = lambda df: df.join(lat0, LANE).withColumns(dict(zip(("px", "py"), geo.equirect("lon", "lat", "ref_lat"))))
     segs = to_segments(flat(reference), LANE, "point_index", "px", "py")
@@ -184,7 +220,28 @@ def forked(t: Tables):
     return snapshot(edges)
 
 
-@query("g16_divergence")
+FORK = """WITH RECURSIVE fe AS (SELECT line_id, trace_id % 3 AS cluster, trace_id, seq, CASE WHEN seq >= 30 AND trace_id % 2 = 0 THEN edge_id + 100000 ELSE edge_id END AS edge_id FROM trace_edges),
+    nodes AS (SELECT line_id, cluster, edge_id, edge_id * 2 + 1 AS node FROM fe GROUP BY 1, 2, 3 HAVING count(DISTINCT trace_id) >= 2),
+    arcs AS (SELECT DISTINCT s.line_id, s.cluster, s.u, s.v FROM (SELECT line_id, cluster, edge_id * 2 + 1 AS u, lead(edge_id * 2 + 1) OVER (PARTITION BY trace_id ORDER BY seq) AS v FROM fe) s
+      JOIN nodes a ON a.line_id = s.line_id AND a.cluster = s.cluster AND a.node = u JOIN nodes b ON b.line_id = s.line_id AND b.cluster = s.cluster AND b.node = v WHERE u <> v),
+    path AS (SELECT line_id, cluster, node, edge_id % 1000 AS seq FROM nodes WHERE edge_id < 100000), offp AS (SELECT line_id, cluster, node FROM nodes WHERE edge_id >= 100000),
+    link AS (SELECT a.* FROM arcs a JOIN offp x ON x.line_id = a.line_id AND x.cluster = a.cluster AND x.node = u JOIN offp y ON y.line_id = a.line_id AND y.cluster = a.cluster AND y.node = v),
+    both_ways AS (SELECT line_id, cluster, u, v FROM link UNION SELECT line_id, cluster, v, u FROM link),
+    reach AS (SELECT line_id, cluster, node, node AS far FROM offp UNION SELECT r.line_id, r.cluster, r.node, b.v FROM reach r JOIN both_ways b ON b.line_id = r.line_id AND b.cluster = r.cluster AND b.u = r.far),
+    chain AS (SELECT line_id, cluster, node, min(far) AS branch FROM reach GROUP BY 1, 2, 3),
+    ent AS (SELECT c.line_id, c.cluster, branch, min(seq) AS e0, max(seq) AS e1 FROM arcs a JOIN path p ON p.line_id = a.line_id AND p.cluster = a.cluster AND p.node = u JOIN chain c ON c.line_id = a.line_id AND c.cluster = a.cluster AND c.node = v GROUP BY 1, 2, 3),
+    lea AS (SELECT c.line_id, c.cluster, branch, min(seq) AS x0, max(seq) AS x1 FROM arcs a JOIN path p ON p.line_id = a.line_id AND p.cluster = a.cluster AND p.node = v JOIN chain c ON c.line_id = a.line_id AND c.cluster = a.cluster AND c.node = u GROUP BY 1, 2, 3),
+    span AS (SELECT line_id, cluster, branch, CASE WHEN e0 IS NOT NULL AND x0 IS NOT NULL THEN e0 + 1 WHEN x0 IS NOT NULL THEN 0 ELSE e1 + 1 END AS lo, CASE WHEN e0 IS NOT NULL AND x0 IS NOT NULL THEN x1 - 1 WHEN x0 IS NOT NULL THEN x0 - 1 ELSE z END AS hi
+      FROM ent FULL JOIN lea USING (line_id, cluster, branch) JOIN (SELECT line_id, cluster, max(seq) AS z FROM path GROUP BY 1, 2) USING (line_id, cluster)),
+    br AS (SELECT DISTINCT f.line_id, f.cluster, branch, trace_id FROM fe f JOIN chain c ON c.line_id = f.line_id AND c.cluster = f.cluster AND c.node = f.edge_id * 2 + 1),
+    tr AS (SELECT DISTINCT s.line_id, s.cluster, s.branch, f.trace_id FROM fe f JOIN path p ON p.line_id = f.line_id AND p.cluster = f.cluster AND p.node = f.edge_id * 2 + 1 JOIN span s ON s.line_id = f.line_id AND s.cluster = f.cluster AND p.seq BETWEEN lo AND hi),
+    good AS (SELECT s.*, (SELECT count(*) FROM chain c WHERE c.line_id = s.line_id AND c.cluster = s.cluster AND c.branch = s.branch) AS edges,
+      (SELECT count(*) FROM br WHERE br.line_id = s.line_id AND br.cluster = s.cluster AND br.branch = s.branch) AS branch_traces,
+      (SELECT count(*) FROM (SELECT trace_id FROM tr WHERE tr.line_id = s.line_id AND tr.cluster = s.cluster AND tr.branch = s.branch EXCEPT SELECT trace_id FROM br WHERE br.line_id = s.line_id AND br.cluster = s.cluster AND br.branch = s.branch)) AS trunk_traces FROM span s WHERE lo <= hi)
+    SELECT line_id, cluster, branch, lo, hi, edges, branch_traces, trunk_traces FROM good WHERE branch_traces >= 2 AND trunk_traces >= 2 QUALIFY row_number() OVER (PARTITION BY line_id, cluster ORDER BY edges DESC, branch) = 1"""
+
+
+@query("g16_divergence", with_tables(FORK, "trace_edges"))
 def find_divergence(t: Tables):
     edges = forked(t)
     nodes = snapshot(support.support_nodes(edges, LANE).withColumn("support_share", F.lit(1.0)).where("weight >= 2"))
@@ -216,10 +273,10 @@ def dedrift(t: Tables):
 
 
 def gaps_of(t: Tables):
-    """Gaps of four lattice steps on every live route."""
-    a, b = F.element_at("path", 5), F.element_at("path", 9)
-    usable = t.route_paths.where(F.size("path") >= 12)
-    return snapshot(usable.select(
+    """A gap in the middle of every live route: four vertices of it, or as many as a short one has."""
+    at = lambda shift: F.element_at("path", F.greatest(F.lit(1), F.least(F.size("path"), F.floor(F.size("path") / 2).cast("int") + shift)))
+    a, b = at(-2), at(2)
+    return snapshot(t.route_paths.select(
         "line_id", F.col("route_id").cast("string").alias("gap_id"), a.alias("start"), b.alias("end"),
         geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"]).alias("gap_m"), F.lit(90.0).alias("heading_in"), F.lit(90.0).alias("heading_out")))
 
@@ -254,10 +311,11 @@ def cross_bridges(t: Tables):
 
 
 def pieces(t: Tables):
-    """Each live route cut in two pieces, the second one turned round on some lines."""
-    cut = t.route_paths.where(F.size("path") >= 20).select("line_id", F.lit(0).alias("direction_group"), "route_id", "lane", F.explode(F.array(
-        F.struct(F.lit(0).alias("part"), F.slice("path", 1, 10).alias("path")),
-        F.struct(F.lit(1).alias("part"), F.when(F.col("line_id") % 2 == 0, F.slice("path", 10, 200)).otherwise(F.reverse(F.slice("path", 10, 200))).alias("path")))).alias("p"))
+    """Each live route cut in the middle, the second half turned round on some lines."""
+    half, rest = F.expr("slice(path, 1, (size(path) + 1) div 2)"), F.expr("slice(path, (size(path) + 1) div 2, size(path))")
+    cut = t.route_paths.select("line_id", F.lit(0).alias("direction_group"), "route_id", "lane", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), half.alias("path")),
+        F.struct(F.lit(1).alias("part"), F.when(F.col("line_id") % 2 == 0, rest).otherwise(F.reverse(rest)).alias("path")))).alias("p"))
     return snapshot(cut.select("line_id", "direction_group", F.concat_ws("-", F.col("route_id").cast("string"), F.col("p.part").cast("string")).alias("route_key"),
                                F.concat_ws(".", F.concat(F.lit("r"), F.col("lane").cast("string")), F.col("p.part").cast("string")).alias("ramal_label"), "p.path", F.lit(3).cast("bigint").alias("trace_count")))
 

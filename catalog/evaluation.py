@@ -29,13 +29,13 @@ SAMPLES = f"""tot AS (SELECT route_id, line_id, lane, sum({hav('lon1', 'lat1', '
     smp AS (SELECT route_id, line_id, lane, lat, a + (b - a) * unnest(generate_series(0, n - 1)) / (n - 1) AS lon FROM (SELECT *, greatest(2, CAST(floor(m / 10.0) AS BIGINT) + 1) AS n FROM tot))"""
 
 
-@query("e02_coverage_score", with_tables(f"""WITH {SAMPLES}, lim AS (SELECT line_id, lane, max(lon2) AS far FROM route_edges WHERE sequence < 30 GROUP BY 1, 2)
+@query("e02_coverage_score", with_tables(f"""WITH {SAMPLES}, lim AS (SELECT line_id, lane, max(lon2) AS far FROM (SELECT *, count(*) OVER (PARTITION BY line_id, lane) AS n FROM route_edges) WHERE sequence < n // 2 GROUP BY 1, 2)
     SELECT s.route_id, round(count(*) FILTER (WHERE s.lon <= l.far OR radians(s.lon - l.far) * 6371000.0 * cos(radians(s.lat)) <= 25.0) / CAST(count(*) AS DOUBLE), 2) AS coverage
     FROM smp s JOIN lim l USING (line_id, lane) GROUP BY 1""", "route_edges"))
 def coverage_score(t: Tables):
-    """Coverage by a reconstruction that holds the first thirty edges of each lane."""
+    """Coverage by a reconstruction that holds the first half of each lane's edges."""
     expected = t.route_paths.select(F.col("route_id").alias("grp"), "path")
-    part = t.route_paths.select(F.col("route_id").alias("grp"), F.lit(0).alias("part"), F.slice("path", 1, 31).alias("path"))
+    part = t.route_paths.select(F.col("route_id").alias("grp"), F.lit(0).alias("part"), F.expr("slice(path, 1, (size(path) - 1) div 2 + 1)").alias("path"))
     return ops.coverage_scores(expected, part, ["grp"], ["grp"]).select(F.col("grp").alias("route_id"), F.round("coverage", 2).alias("coverage"))
 
 
@@ -73,8 +73,8 @@ def clip_to_seen(t: Tables):
 @query("e06_completeness")
 def completeness(t: Tables):
     part = lambda path: t.route_paths.select("line_id", F.col("lane").alias("part"), path.alias("path"))
-    path = F.col("path")
-    return ops.completeness(part(F.slice(path, 1, 50)), part(path), part(F.slice(path, 1, 30)), ["line_id"], F.lit(-17.39))
+    path, share = F.col("path"), lambda quarters: F.expr(f"slice(path, 1, ceil(size(path) * {quarters} / 4))")
+    return ops.completeness(part(share(3)), part(path), part(share(2)), ["line_id"], F.lit(-17.39))
 
 
 @query("u02_edge_precision_recall", with_tables("""WITH o AS (SELECT DISTINCT trace_id, edge_id, edge_id >= 500000 AS inferred FROM trace_edges), t AS (SELECT r.trace_id, e.edge_id FROM (SELECT DISTINCT trace_id, line_id FROM trace_edges) r

@@ -193,18 +193,6 @@ def delete_lines(t: Tables):
     return count("sessions").union(count("routes")).union(count("route_edges")).union(count("edge_votes"))
 
 
-@query("l21_run_log")
-def run_log(t: Tables):
-    """Counting steps over the tables, one of which fails and is logged."""
-    steps = {
-        "cleanup": lambda: {"abandoned": ops.abandon_stale(t.sessions, at(NOW_EVENTS)).where("abandoned_now").count()},
-        "resolve": lambda: {"routes": t.routes.count()},
-        "broken": lambda: 1 / 0,
-    }
-    run, log = ops.run_steps(t.spark, ["cleanup", "broken", "resolve", "missing"], steps)
-    return log.select("step", "place", "status", F.to_json("stats").alias("stats"))
-
-
 @query("l22_line_changes", with_tables("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS change_id, l_partkey AS line_id, CASE l_linenumber % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'approve' ELSE 'delete' END AS action FROM lineitem
       QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_shipdate) = 1)
     SELECT l.line_id, CASE WHEN c.action = 'approve' AND l.status = 'pending' THEN 'approved' ELSE l.status END AS status, CASE WHEN c.action = 'update' THEN 'renamed' ELSE l.name END AS name

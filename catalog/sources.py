@@ -56,11 +56,12 @@ def read_geojson(t: Tables):
     return rows.select(F.substring(F.col("properties")["route_short_name"], 2, 9).cast("bigint").alias("line_id"), F.col("fragment_index").cast("bigint").alias("fragment_index"), F.size("path").alias("vertices"))
 
 
-@query("s03_import_routes", with_tables("""SELECT CAST(line_id AS VARCHAR) AS line_id, version, 'superseded' AS status, count(*) AS n FROM routes WHERE line_id < 2 GROUP BY 1, 2
-    UNION ALL SELECT CAST(line_id AS VARCHAR), version, status, count(*) FROM routes WHERE line_id >= 2 GROUP BY 1, 2, 3
-    UNION ALL SELECT CASE WHEN line_id < 2 THEN CAST(line_id AS VARCHAR) ELSE 'imported-L' || line_id END, CASE WHEN line_id < 2 THEN 3 ELSE 1 END, 'confirmed', count(DISTINCT lane) FROM route_edges GROUP BY 1, 2, 3""", "routes", "route_edges"))
+@query("s03_import_routes", with_tables("""SELECT CAST(line_id AS VARCHAR) AS line_id, version, 'superseded' AS status, count(*) AS n FROM routes WHERE line_id % 2 = 0 GROUP BY 1, 2
+    UNION ALL SELECT CAST(line_id AS VARCHAR), version, status, count(*) FROM routes WHERE line_id % 2 = 1 GROUP BY 1, 2, 3
+    UNION ALL SELECT CASE WHEN line_id % 2 = 0 THEN CAST(line_id AS VARCHAR) ELSE 'imported-L' || line_id END, CASE WHEN line_id % 2 = 0 THEN 3 ELSE 1 END, 'confirmed', count(DISTINCT lane) FROM route_edges GROUP BY 1, 2, 3""", "routes", "route_edges"))
 def import_routes(t: Tables):
-    lines = t.lines.where("line_id < 2").withColumn("name", F.concat(F.lit("L"), F.col("line_id").cast("string")))
+    """Files of all lines; those of even lines are known by name, the others are made."""
+    lines = t.lines.withColumn("name", F.expr("concat(if(line_id % 2 = 0, 'L', 'M'), line_id)"))
     files = read_lines(t).select("file", F.col("properties")["route_short_name"].alias("line_name"), "fragment_index", "path")
     _, routes, _ = lifecycle.import_routes(files, lines, t.routes)
     return routes.groupBy("line_id", "version", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -72,10 +73,9 @@ def gtfs_shapes(t: Tables):
     root = scratch(t, "gtfs")
     csv = lambda df, name: df.write.option("header", True).csv(f"{root}/{name}.txt")
     csv(t.trace_points.select("line_id").distinct().selectExpr("line_id AS route_id", "concat('L', line_id) AS route_short_name", "'x' AS route_long_name"), "routes")
-    csv(t.trace_points.select("line_id", "trace_id").distinct().orderBy("trace_id").selectExpr("line_id AS route_id", "trace_id AS shape_id"), "trips")
+    csv(t.trace_points.select("line_id", "trace_id").distinct().orderBy("trace_id").coalesce(1).selectExpr("line_id AS route_id", "trace_id AS shape_id"), "trips")
     csv(t.trace_points.selectExpr("trace_id AS shape_id", "point_index AS shape_pt_sequence", "lon AS shape_pt_lon", "lat AS shape_pt_lat"), "shapes")
     routes, trips, shapes = geojson.read_gtfs(t.spark, root)
-    trips = trips.withColumn("row", F.col("shape_id").cast("bigint"))
     return geojson.gtfs_route_points(routes, trips, shapes).groupBy("route_id", "shape_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.max("lon"), 6).alias("max_lon"))
 
 
@@ -187,12 +187,12 @@ def primary_line(t: Tables):
     return geojson.primary_line(rows).select(F.substring("name", 2, 9).cast("bigint").alias("line_id"), F.size("path").alias("vertices"))
 
 
-@query("f15_edge_shapes", with_tables("SELECT route_id, sequence, CASE WHEN sequence % 4 = 0 THEN 2 ELSE sequence % 4 + 1 END AS vertices FROM route_edges WHERE sequence + 4 <= (SELECT count(*) FROM route_edges r WHERE r.route_id = route_edges.route_id)", "route_edges"))
+@query("f15_edge_shapes", with_tables("SELECT route_id, sequence, CASE WHEN sequence % 4 = 0 THEN 2 ELSE least(sequence + sequence % 4, last) - sequence + 1 END AS vertices FROM route_edges JOIN (SELECT route_id, count(*) AS last FROM route_edges GROUP BY 1) USING (route_id)", "route_edges"))
 def edge_shapes(t: Tables):
-    """Slices of route shapes: begin at the edge, zero to three vertices on, reversed for odd ones."""
+    """Slices of route shapes: begin at the edge, zero to three vertices on, clamped at the route's end, reversed for odd ones."""
     from colectivo.operators.cleaning import edge_shape
 
-    rows = t.route_edges.select("route_id", "sequence").join(t.route_paths.select("route_id", "path"), "route_id").where("sequence + 4 <= size(path) - 1")
+    rows = t.route_edges.select("route_id", "sequence").join(t.route_paths.select("route_id", "path"), "route_id")
     begin, end = F.col("sequence").cast("int"), (F.col("sequence") + F.col("sequence") % 4).cast("int")
     odd = F.col("sequence") % 2 == 1
     cut = edge_shape(F.col("path"), F.when(odd, end).otherwise(begin), F.when(odd, begin).otherwise(end))

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import snapshot
 
-# Degrees per cell of the zone index.
-ZONE_CELL_DEG = 0.01
+# Degrees per cell of the zone index; polygon sides of an index that every task may hold (about 40 MB).
+ZONE_CELL_DEG, BROADCAST_SIDES = 0.01, 500_000
 ZONAL_TYPES = ("trufi", "taxi_trufi")
 
 
+def zone_cell(value) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.floor(value / ZONE_CELL_DEG).cast("bigint")
+
+
 def zone_index(zones: DataFrame) -> DataFrame:
-    """One row per grid cell with the zones whose bounding box meets it."""
+    """One row per grid cell with the zones whose bounding box meets it.
+
+    Of a zone's sides a cell holds those that the even-odd rule can meet
+    there: at the height of the cell, and not wholly to its left.
+    """
     corners = F.flatten("rings")
     low = lambda axis: F.array_min(F.transform(corners, lambda p: p[axis]))
     high = lambda axis: F.array_max(F.transform(corners, lambda p: p[axis]))
@@ -22,32 +34,52 @@ def zone_index(zones: DataFrame) -> DataFrame:
         low("lon").alias("w"), high("lon").alias("e"), low("lat").alias("s"), high("lat").alias("n"),
         F.flatten(F.transform("rings", geo.ring_sides)).alias("sides"),
     )
-    span = lambda lo, hi: F.sequence(
-        F.floor(F.col(lo) / ZONE_CELL_DEG).cast("bigint"), F.floor(F.col(hi) / ZONE_CELL_DEG).cast("bigint")
+    span = lambda lo, hi: F.sequence(zone_cell(lo), zone_cell(hi))
+    meets = lambda side: (
+        F.col("cy").between(zone_cell(F.least(side["y1"], side["y2"])), zone_cell(F.greatest(side["y1"], side["y2"])))
+        & (zone_cell(F.greatest(side["x1"], side["x2"])) >= F.col("cx"))
     )
     return (
         boxed.withColumn("cx", F.explode(span("w", "e")))
         .withColumn("cy", F.explode(span("s", "n")))
+        .withColumn("sides", F.filter("sides", meets))
         .groupBy("cx", "cy")
         .agg(F.collect_list(F.struct("zone_id", "w", "e", "s", "n", "sides")).alias("candidates"))
     )
 
 
-def resolve_zone(points: DataFrame, zones: DataFrame, lon: str, lat: str, out: str) -> DataFrame:
+@dataclass(frozen=True)
+class ZoneLookup:
+    """The cell index of a zone table, written once, and whether its measured size lets every task hold it."""
+
+    index: DataFrame
+    small: bool
+
+
+def zone_lookup(zones: DataFrame, most_sides: int = BROADCAST_SIDES) -> ZoneLookup:
+    index = snapshot(zone_index(zones))
+    sides = index.agg(F.sum(F.aggregate("candidates", F.lit(0).cast("bigint"), lambda n, z: n + F.size(z["sides"]) + 1))).first()[0] or 0
+    return ZoneLookup(index, sides <= most_sides)
+
+
+def resolve_zone(points: DataFrame, zones: DataFrame | ZoneLookup, lon: str, lat: str, out: str) -> DataFrame:
     """Add the least id of the zones strictly containing each point, else null.
 
-    The cell join keeps one row per point: no grouping of the point table, and
-    the zone side is broadcast only when its size allows it.
+    Rows probe the index where they are: an index of at most ``BROADCAST_SIDES``
+    sides goes to every task, and no row of ``points`` moves. A larger one is
+    joined by cell; cells that many rows ask are then split by adaptive
+    execution, and rows without coordinates are dealt over keys of their own,
+    which no cell has.
     """
-    index = zone_index(zones)
+    lookup = zones if isinstance(zones, ZoneLookup) else zone_lookup(zones)
     x, y = F.col(lon), F.col(lat)
-    cells = points.withColumns(
-        {"cx": F.floor(x / ZONE_CELL_DEG).cast("bigint"), "cy": F.floor(y / ZONE_CELL_DEG).cast("bigint")}
-    )
+    apart = -1 - (F.lit(1 << 40) + F.pmod(F.xxhash64(*points.columns), F.lit(4096)))
+    cells = points.withColumns({"cx": F.coalesce(zone_cell(x), apart), "cy": F.coalesce(zone_cell(y), F.lit(0))})
     inside = F.filter(
         "candidates",
         lambda z: (z["w"] < x) & (x < z["e"]) & (z["s"] < y) & (y < z["n"]) & geo.sides_contain(z["sides"], x, y),
     )
+    index = F.broadcast(lookup.index) if lookup.small else lookup.index
     return (
         cells.join(index, ["cx", "cy"], "left")
         .withColumn(out, F.array_min(F.transform(inside, lambda z: z["zone_id"])))
@@ -56,21 +88,10 @@ def resolve_zone(points: DataFrame, zones: DataFrame, lon: str, lat: str, out: s
 
 
 def resolve_report_zones(reports: DataFrame, zones: DataFrame) -> DataFrame:
-    """Zones of both ends of each fare report; zones already known stay.
-
-    Stops are reported again and again, so each distinct place is located once
-    (collapsed map-side) and both ends look their zone up.
-    """
-    ends = {"boarding": "_b", "alighting": "_a"}
-    spots = None
-    for end in ends:
-        part = reports.select(F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_lat").alias("lat"))
-        spots = part if spots is None else spots.union(part)
-    located = resolve_zone(spots.where("lon IS NOT NULL AND lat IS NOT NULL").distinct(), zones, "lon", "lat", "zone").where("zone IS NOT NULL")
-    out = reports
-    for end, name in ends.items():
-        side = located.select(F.col("lon").alias(f"{end}_lon"), F.col("lat").alias(f"{end}_lat"), F.col("zone").alias(name))
-        out = out.join(side, [f"{end}_lon", f"{end}_lat"], "left")
+    """Zones of both ends of each fare report; zones already known stay."""
+    lookup, out = zone_lookup(zones), reports
+    for end, name in (("boarding", "_b"), ("alighting", "_a")):
+        out = resolve_zone(out, lookup, f"{end}_lon", f"{end}_lat", name)
     known = lambda name, found: F.coalesce(F.col(name), F.col(found)) if name in reports.columns else F.col(found)
     return out.withColumns(
         {"boarding_zone_id": known("boarding_zone_id", "_b"), "alighting_zone_id": known("alighting_zone_id", "_a")}

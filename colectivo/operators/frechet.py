@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import geo
-from .grid import cell
+from ..session import snapshot
+from .quadtree import near_pairs
 
 
 def discrete_frechet(p: np.ndarray, q: np.ndarray) -> float:
@@ -85,28 +86,20 @@ def collapse_copies(shapes: DataFrame, group: Sequence[str], trace: str = "trace
 def close_pairs(shapes: DataFrame, group: Sequence[str], threshold_m: float, trace: str = "trace_id") -> DataFrame:
     """Pairs (a < b) of one group with Fréchet distance at most ``threshold_m``.
 
-    Both ends of such pairs lie within the threshold, so pairs come from a join
-    on the cell of the first point and a check of the last; farther pairs, which
-    no clustering would merge, are never formed.
+    Both ends of such pairs lie within the threshold, so pairs come from a
+    distance join of the first points and a check of the last; farther pairs,
+    which no clustering would merge, are never formed. Only ends take part in
+    the join, and paths meet their pairs after it.
     """
-    group = list(group)
-    first, last = F.element_at("path", 1), F.element_at("path", -1)
-    x, y = geo.mercator(first["lon"], first["lat"])
-    ex, ey = geo.mercator(last["lon"], last["lat"])
+    on, first, last = list(group), F.element_at("path", 1), F.element_at("path", -1)
+    ends = snapshot(shapes.select(*on, trace, *(p[c].alias(f"{name}_{c}") for name, p in (("f", first), ("l", last)) for c in ("lon", "lat"))))
+    side = lambda name: ends.select(*on, F.col(trace).alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ends.columns[-4:]))
     # Mercator units exceed ground metres; 1/cos of the latitude covers the threshold.
-    reach = F.lit(threshold_m * 1.05) / F.cos(F.radians(first["lat"]))
-    ends = shapes.select(*group, trace, "path", x.alias("x"), y.alias("y"), ex.alias("ex"), ey.alias("ey"), reach.alias("reach"))
-    size = threshold_m * 4
-    here = ends.withColumns({"cx": cell("x", size), "cy": cell("y", size)})
-    around = lambda v: F.sequence(cell(F.col(v) - F.col("reach"), size), cell(F.col(v) + F.col("reach"), size))
-    there = ends.withColumn("cx", F.explode(around("x"))).withColumn("cy", F.explode(around("y")))
-    a, b = here.alias("a"), there.alias("b")
-    same = F.lit(True)
-    for g in [*group, "cx", "cy"]:
-        same = same & (F.col(f"a.{g}") == F.col(f"b.{g}"))
-    near = (geo.dist("a.x", "a.y", "b.x", "b.y") <= F.col("b.reach")) & (geo.dist("a.ex", "a.ey", "b.ex", "b.ey") <= F.col("b.reach"))
-    pairs = a.join(b, same & (F.col(f"a.{trace}") < F.col(f"b.{trace}")) & near).select(
-        *[F.col(f"a.{g}").alias(g) for g in group], F.col(f"a.{trace}").alias("a"), F.col(f"b.{trace}").alias("b"),
-        F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"),
-    )
-    return pairs.withColumn("metres", frechet("path_a", "path_b")).drop("path_a", "path_b").where(F.col("metres") <= threshold_m)
+    reach = F.lit(threshold_m * 1.05) / F.cos(F.radians(F.least(F.abs("f_lat_b") + threshold_m / 100_000, F.lit(85.0))))
+    at = {end: {s: geo.mercator(f"{end}_lon_{s}", f"{end}_lat_{s}") for s in "ab"} for end in "fl"}
+    met = near_pairs(side("a"), side("b"), at["f"]["a"], at["f"]["b"], reach, on).where("a < b")
+    near = lambda end: geo.dist(*at[end]["a"], *at[end]["b"]) <= reach
+    pairs = met.where(near("f") & near("l")).select(*on, "a", "b")
+    path = lambda name: shapes.select(*on, F.col(trace).alias(name), F.col("path").alias(f"path_{name}"))
+    both = pairs.join(path("a"), [*on, "a"]).join(path("b"), [*on, "b"])
+    return both.withColumn("metres", frechet("path_a", "path_b")).drop("path_a", "path_b").where(F.col("metres") <= threshold_m)

@@ -104,30 +104,3 @@ def spread_join(
         return joined.drop("_salt")
     rest = [F.col(f"r.{c}") for c in copies.columns if c not in keys]
     return joined.select(*[F.col(f"l.{c}") for c in salted.columns if c != "_salt"], *rest)
-
-
-def box_pairs(boxes: DataFrame, group: Sequence[str], key: str, grow: float = 0.0, size: float = 0.05, once: bool = True) -> DataFrame:
-    """Pairs (a, b) of one group whose boxes w, e, s, n, grown by ``grow``, meet.
-
-    A pair is formed only in the first grid cell both boxes share, so nothing
-    has to be de-duplicated. ``once`` keeps a < b, else both orders come out.
-    Box columns return as w_a, e_a, … and w_b, e_b, ….
-    """
-    group = list(group)
-    span = lambda lo, hi: F.sequence(cell(F.col(lo) - grow, size), cell(F.col(hi) + grow, size))
-    cells = boxes.select(*group, key, "w", "e", "s", "n").withColumn("cx", F.explode(span("w", "e"))).withColumn("cy", F.explode(span("s", "n")))
-    a, b = cells.alias("a"), cells.alias("b")
-    low = lambda side, c: cell(F.col(f"{side}.{c}") - grow, size)
-    match = (
-        ((F.col(f"a.{key}") < F.col(f"b.{key}")) if once else (F.col(f"a.{key}") != F.col(f"b.{key}")))
-        & (F.col("a.w") - grow <= F.col("b.e")) & (F.col("b.w") - grow <= F.col("a.e"))
-        & (F.col("a.s") - grow <= F.col("b.n")) & (F.col("b.s") - grow <= F.col("a.n"))
-        & (F.col("a.cx") == F.greatest(low("a", "w"), low("b", "w")))
-        & (F.col("a.cy") == F.greatest(low("a", "s"), low("b", "s")))
-    )
-    for g in [*group, "cx", "cy"]:
-        match = (F.col(f"a.{g}") == F.col(f"b.{g}")) & match
-    box = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("a", "b") for c in "wesn"]
-    return a.join(b, match).select(
-        *[F.col(f"a.{g}").alias(g) for g in group], F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), *box
-    )

@@ -170,13 +170,41 @@ def to_segments(points: DataFrame, keys: Sequence[str], idx: str, x: str, y: str
     return running_sum(seg, keys, "seg", F.col("len"), "_end").withColumn("pos", F.col("_end") - F.col("len")).drop("_end")
 
 
-def project(points: DataFrame, segments: DataFrame, on: Sequence[str], within: float | None, point_id: Sequence[str]) -> DataFrame:
+def _nearest(points: DataFrame, segments: DataFrame, on: list[str], ids: list[str], near: Column, ring_m: float) -> DataFrame:
+    """Best segment of each point of a key that has segments, by rings that grow until the best is proven.
+
+    In a round every open point meets the segments within one cell of its own.
+    What it finds within the cell's size can't be beaten by anything it didn't
+    meet; points without such a find go on at four times the size, with the
+    segments of their keys alone. Rounds grow with the logarithm of the
+    distance to the farthest best segment.
+    """
+    key = list(dict.fromkeys([*on, *ids]))
+    real = lambda *cols: " AND ".join(f"abs({c}) < double('infinity')" for c in cols)  # neither null nor NaN
+    segments, points = snapshot(segments.where(real("x1", "y1", "x2", "y2"))), points.where(real("px", "py"))
+    left, done = snapshot(points.join(segments.select(*on).distinct(), on, "left_semi") if on else points), None
+    while True:
+        cells = with_cell(left, "px", "py", ring_m)
+        met = spread_join(cells, segment_cells(segments, ring_m, ring_m).distinct(), [*on, "cx", "cy"])
+        found = snapshot(met.groupBy(*key).agg(F.min(near).alias("_best")).where(F.col("_best.offset_m") <= ring_m))
+        done = found if done is None else done.unionByName(found)
+        left = snapshot(left.join(found.select(*key), key, "left_anti"))
+        if left.isEmpty():
+            return done
+        if on:
+            segments = segments.join(left.select(*on).distinct(), on, "left_semi")
+        elif segments.isEmpty():
+            return done
+        ring_m *= 4
+
+
+def project(points: DataFrame, segments: DataFrame, on: Sequence[str], within: float | None, point_id: Sequence[str], ring_m: float = 64.0) -> DataFrame:
     """Nearest segment of each point: adds arc_pos and offset_m; first segment wins ties.
 
-    ``points``: point_id, on, px, py; ``segments``: on, seg, x1…y2, pos, len.
-    With ``within`` the pairs come from a grid of that size and far points get
-    no row; without it each point meets every segment of its key, which is
-    meant for bounded reference lines.
+    ``points``: point_id, on, px, py ; ``segments``: on, seg, x1…y2,
+    pos, len. With ``within`` the pairs come from a grid of that size and far
+    points get no row; without it the search widens, from ``ring_m`` on, until
+    the nearest is certain; points without coordinates get no row.
     """
     on, point_id = list(on), list(point_id)
     t = geo.segment_fraction("px", "py", "x1", "y1", "x2", "y2")
@@ -185,13 +213,14 @@ def project(points: DataFrame, segments: DataFrame, on: Sequence[str], within: f
         F.col("seg"),
         (F.col("pos") + t * F.col("len")).alias("arc_pos"),
     )
+    key = list(dict.fromkeys([*on, *point_id]))
     if within is None:
-        pairs = points.join(segments, on)
+        best = _nearest(points, segments, on, point_id, near, ring_m)
     else:
         cells = with_cell(points, "px", "py", within)
         pairs = spread_join(cells, segment_cells(segments, within, within).distinct(), [*on, "cx", "cy"])
-    best = pairs.groupBy(*dict.fromkeys([*on, *point_id])).agg(F.min(near).alias("_best"))
-    out = best.select(*dict.fromkeys([*on, *point_id]), "_best.offset_m", "_best.seg", "_best.arc_pos")
+        best = pairs.groupBy(*key).agg(F.min(near).alias("_best"))
+    out = best.select(*key, "_best.offset_m", "_best.seg", "_best.arc_pos")
     return out if within is None else out.where(F.col("offset_m") <= within)
 
 

@@ -11,10 +11,11 @@ from ..config import Direction, Variants
 from ..functions import geo
 from ..session import snapshot
 from .frechet import close_pairs, collapse_copies, frechet, shapes_of
-from .grid import box_pairs
+from .grid import spread_join
 from .loops import connected_components, mutual_best
 from .ordered import with_neighbours, with_previous
 from .polyline import arc_lengths, project, resample_even, resample_step, to_segments
+from .quadtree import box_pairs
 
 
 def reference_traces(points: DataFrame, line: str = "line_id") -> DataFrame:
@@ -44,33 +45,45 @@ def travel_directions(points: DataFrame, line: str = "line_id", cfg: Direction =
 
 
 def shared_edge_counts(left: DataFrame, right: DataFrame, line: str = "line_id") -> DataFrame:
-    """Distinct directed edges shared by trace pairs of one line: line, a, b, shared.
-
-    Traces with the same edge set are counted once through their set.
-    """
+    """Distinct directed edges shared by trace pairs of one line: line, a, b, shared."""
     on = [line, "edge_id", "forward"]
     a = left.select(*on, F.col("trace_id").alias("a")).distinct()
     b = right.select(*on, F.col("trace_id").alias("b")).distinct()
-    return a.join(b, on).where("a <> b").groupBy(line, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return spread_join(a, b, on).where("a <> b").groupBy(line, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def edge_set_leaders(own: DataFrame, sides: DataFrame, line: str = "line_id") -> DataFrame:
+    """``line, trace_id, side, leader``: the least trace of the same side (null for none) that rides exactly the same edges.
+
+    A trace is bounded, so its edges fit one value; traces of one set meet by
+    a combinable minimum.
+    """
+    sets = own.groupBy(line, "trace_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "forward"))).alias("ridden"))
+    sets = snapshot(sets.join(sides.select(line, "trace_id", "side"), [line, "trace_id"], "left").withColumn("side_key", F.coalesce("side", F.lit(""))))
+    key = [line, "side_key", "ridden"]
+    return sets.join(sets.groupBy(*key).agg(F.min("trace_id").alias("leader")), key).select(line, "trace_id", "side", "leader")
 
 
 def direction_groups(points: DataFrame, edges: DataFrame, line: str = "line_id", cfg: Direction = Direction()) -> DataFrame:
     """Direction group of every trace, numbered by size and then least trace id.
 
     Traces without a clear direction join the group holding the trace they share
-    most edges with; those left over group by overlap among themselves.
+    most edges with; those left over group by overlap among themselves. Traces
+    with the same edges are compared once, through the least of them.
     """
     verdicts = snapshot(travel_directions(points, line, cfg))
     known = verdicts.where("with_reference IS NOT NULL").select(
         line, "trace_id", F.when(F.col("with_reference"), "forward").otherwise("backward").alias("side")
     )
     unknown = verdicts.where("with_reference IS NULL").select(line, "trace_id")
-    own = edges.select(line, "trace_id", "edge_id", "forward").distinct()
-    lost = own.join(unknown, [line, "trace_id"], "left_semi")
+    own = snapshot(edges.select(line, "trace_id", "edge_id", "forward").distinct())
+    led = snapshot(edge_set_leaders(own, known, line))
+    leaders = snapshot(own.join(led.where("trace_id = leader").select(line, "trace_id", "side"), [line, "trace_id"]))
+    lost, settled = leaders.where("side IS NULL"), leaders.where("side IS NOT NULL")
     sizes = lost.groupBy(line, "trace_id").agg(F.count(F.lit(1)).alias("n"))
     enough = (F.col("shared") >= cfg.min_common_edges) | (F.col("shared") / F.col("n") >= cfg.min_overlap_share)
     joined = (
-        shared_edge_counts(lost, own.join(known, [line, "trace_id"], "left_semi"), line)
+        shared_edge_counts(lost, settled, line)
         .join(known.withColumnRenamed("trace_id", "b"), [line, "b"])
         .groupBy(line, F.col("a").alias("trace_id"))
         .agg(F.max(F.struct("shared", "side")).alias("_m"))
@@ -79,18 +92,23 @@ def direction_groups(points: DataFrame, edges: DataFrame, line: str = "line_id",
         .where(enough)
         .select(line, "trace_id", "side")
     )
-    rest = snapshot(unknown.join(joined, [line, "trace_id"], "left_anti"))
-    alone = lost.join(rest, [line, "trace_id"], "left_semi")
+    joined = snapshot(joined)
+    alone = snapshot(lost.join(joined, [line, "trace_id"], "left_anti"))
     links = (
         shared_edge_counts(alone, alone, line)
         .join(sizes.withColumnRenamed("trace_id", "a"), [line, "a"])
         .where(enough)
         .select(line, F.col("a").alias("src"), F.col("b").alias("dst"))
     )
-    parts = connected_components(rest, links, [line], "trace_id").select(
+    # A trace without any edge is a set of its own.
+    bare = unknown.join(led.select(line, "trace_id"), [line, "trace_id"], "left_anti")
+    heads = alone.select(line, "trace_id").distinct().union(bare)
+    parts = connected_components(heads, links, [line], "trace_id").select(
         line, "trace_id", F.concat(F.lit("part-"), F.col("component").cast("string")).alias("side")
     )
-    sides = snapshot(known.union(joined).union(parts))
+    found = joined.union(parts).withColumnRenamed("trace_id", "leader")
+    followers = unknown.join(led.select(line, "trace_id", "leader"), [line, "trace_id"], "left").withColumn("leader", F.coalesce("leader", "trace_id"))
+    sides = snapshot(known.union(followers.join(found, [line, "leader"]).select(line, "trace_id", "side")))
     ranked = sides.groupBy(line, "side").agg(F.count(F.lit(1)).alias("n"), F.min("trace_id").alias("first"))
     place = F.row_number().over(Window.partitionBy(line).orderBy(F.desc("n"), "first")) - 1
     return sides.join(ranked.withColumn("direction_group", place), [line, "side"]).select(line, "trace_id", "direction_group")

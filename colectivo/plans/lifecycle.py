@@ -6,18 +6,15 @@ always an argument, so a run can be repeated.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import astuple, dataclass
-from datetime import datetime, timezone
-from functools import partial
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
 from ..operators.frechet import frechet
-from ..operators.grid import box_pairs
 from ..operators.ordered import islands
+from ..operators.quadtree import box_pairs
 from ..session import snapshot
 
 
@@ -106,9 +103,11 @@ def deduplicate_lines(lines: DataFrame, points: DataFrame, min_ratio: float = 0.
 
 
 def apply_line_status(lines: DataFrame, merges: DataFrame) -> DataFrame:
-    return lines.drop("merged_into_id").join(merges.select("line_id", F.col("target").alias("merged_into_id")), "line_id", "left").withColumn(
-        "status", F.when(F.col("merged_into_id").isNotNull(), "merged").otherwise(F.col("status"))
-    )
+    """Merged lines and their targets; lines that were merged before keep theirs."""
+    before = F.col("merged_into_id") if "merged_into_id" in lines.columns else F.lit(None)
+    return lines.join(merges.select("line_id", F.col("target").alias("_target")), "line_id", "left").withColumns({
+        "merged_into_id": F.coalesce("_target", before), "status": F.when(F.col("_target").isNotNull(), "merged").otherwise(F.col("status")),
+    }).drop("_target")
 
 
 def valid_merges(requests: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -387,57 +386,3 @@ def import_routes(files: DataFrame, lines: DataFrame, routes: DataFrame) -> tupl
     ).drop("_l", "_hit").withColumns({"route_id": F.col("route_id").cast("string"), "line_id": F.col("line_id").cast("string")})
     all_lines = lines.withColumn("line_id", F.col("line_id").cast("string")).unionByName(made, allowMissingColumns=True)
     return all_lines, old.unionByName(new.drop("path"), allowMissingColumns=True), new
-
-
-# --- run log -------------------------------------------------------------------
-
-STEP_LOG = "step string, place int, status string, started_at timestamp, ended_at timestamp, stats map<string,string>, error_message string"
-
-
-@dataclass(frozen=True)
-class Outcome:
-    """What one step did: its counts, or the reason why it has none."""
-
-    step: str
-    place: int
-    status: str
-    started_at: datetime
-    ended_at: datetime
-    stats: dict[str, str]
-    error_message: str | None
-
-
-def _utc_now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
-
-
-def _attempt(place: int, name: str, work: Callable[[], dict | None], clock: Callable[[], datetime]) -> Outcome:
-    begun = clock()
-    try:
-        counts = work() or {}
-    except Exception as exc:  # logged: later steps don't build on this one's result
-        return Outcome(name, place, "failed", begun, clock(), {}, f"{type(exc).__name__}: {exc}")
-    return Outcome(name, place, "completed", begun, clock(), {k: str(v) for k, v in counts.items()}, None)
-
-
-def run_steps(
-    spark: SparkSession, order: Sequence[str], steps: dict[str, Callable[..., dict]], requested: Sequence[str] | None = None,
-    params: dict[str, dict] | None = None, trigger: str = "manual", continue_on_error: bool = True, clock: Callable[[], datetime] = _utc_now,
-) -> tuple[DataFrame, DataFrame]:
-    """The run and its log, one row per step that has work, in the fixed order.
-
-    A step returns its counts. Names without a step, and steps that were not
-    requested, leave no row. With ``continue_on_error`` unset the log ends at
-    the first failure; a run with a failed step is a failed run.
-    """
-    begun = clock()
-    wanted = set(order if requested is None else requested) & set(steps)
-    work = {name: partial(steps[name], **(params or {}).get(name, {})) for name in wanted}
-    log: list[Outcome] = []
-    for place, name in ((p, n) for p, n in enumerate(order) if n in work):
-        log.append(_attempt(place, name, work[name], clock))
-        if log[-1].error_message is not None and not continue_on_error:
-            break
-    status = max((o.status for o in log), key="completed failed".split().index, default="completed")
-    run = spark.createDataFrame([(trigger, status, begun, clock())], "trigger string, status string, started_at timestamp, ended_at timestamp")
-    return run, spark.createDataFrame([astuple(o) for o in log], STEP_LOG)

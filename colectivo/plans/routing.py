@@ -16,19 +16,15 @@ from pyspark.sql import functions as F
 
 from ..config import Routing
 from ..functions import geo
-from ..operators.grid import with_cell, with_cells_around
+from ..operators.quadtree import near_pairs
 from ..session import snapshot
 
 
 def _near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs within ground metres. ``left``: lon, lat, …; ``right``: rlon, rlat, …."""
-    size = metres * 1.3
-    lx, ly = geo.mercator("lon", "lat")
-    rx, ry = geo.mercator("rlon", "rlat")
-    a = with_cell(left.withColumns({"_x": lx, "_y": ly}), "_x", "_y", size).drop("_x", "_y")
-    b = with_cells_around(right.withColumns({"_x": rx, "_y": ry}), "_x", "_y", size).drop("_x", "_y")
-    out = a.join(b, ["cx", "cy"]).withColumn("metres", geo.haversine("lon", "lat", "rlon", "rlat"))
-    return out.where(F.col("metres") <= metres).drop("cx", "cy")
+    reach = F.lit(metres * 1.02) / F.cos(F.radians(F.least(F.abs("rlat") + metres / 100_000, F.lit(85.0))))
+    out = near_pairs(left, right, geo.mercator("lon", "lat"), geo.mercator("rlon", "rlat"), reach)
+    return out.withColumn("metres", geo.haversine("lon", "lat", "rlon", "rlat")).where(F.col("metres") <= metres)
 
 
 def merge_nodes(edges: DataFrame, cfg: Routing = Routing()) -> tuple[DataFrame, DataFrame]:
