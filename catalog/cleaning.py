@@ -24,7 +24,11 @@ def shaped_edges(t: Tables):
 COARSE = "ce AS (SELECT trace_id, seq, edge_id // 3 AS edge_id, lag(edge_id // 3) OVER (PARTITION BY trace_id ORDER BY seq) AS prev FROM trace_edges)"
 
 
-@query("m01_thin_points")
+@query("m01_thin_points", with_tables(f"""WITH RECURSIVE p AS (SELECT trace_id, point_index AS k, lon, lat, ts FROM trace_points),
+    walk AS (SELECT trace_id, k, lon, lat, ts, true AS kept FROM p WHERE k = 0
+      UNION ALL SELECT trace_id, k, CASE WHEN kept THEN plon ELSE lon END, CASE WHEN kept THEN plat ELSE lat END, CASE WHEN kept THEN pts ELSE ts END, kept FROM (
+        SELECT p.trace_id, p.k, w.lon, w.lat, w.ts, p.lon AS plon, p.lat AS plat, p.ts AS pts, {hav('w.lon', 'w.lat', 'p.lon', 'p.lat')} >= 5.0 OR p.ts - w.ts >= INTERVAL 30 SECOND AS kept FROM walk w JOIN p ON p.trace_id = w.trace_id AND p.k = w.k + 1))
+    SELECT trace_id, count(*) FILTER (WHERE kept OR k = (SELECT max(k) FROM p WHERE p.trace_id = walk.trace_id)) AS kept FROM walk GROUP BY 1""", "trace_points"))
 def thin_points(t: Tables):
     return ops.thin(t.trace_points, KEYS).groupBy("trace_id").agg(F.count(F.lit(1)).alias("kept"))
 

@@ -64,13 +64,27 @@ def junction_gaps(t: Tables):
     return ops.junction_gaps(edges, ["route_id"])
 
 
-@query("e05_clip_to_seen")
+@query("e05_clip_to_seen", with_tables(f"""WITH tot AS (SELECT route_id, line_id, count(*) AS edges, sum({hav('lon1', 'lat1', 'lon2', 'lat2')}) AS m, min(lon1) AS a, max(lon2) AS b, min(lat1) AS lat FROM route_edges GROUP BY 1, 2),
+    smp AS (SELECT route_id, line_id, lat, k, a + (b - a) * k / (n - 1) AS lon FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM (SELECT *, greatest(2, CAST(floor(m / 10.0) AS BIGINT) + 1) AS n FROM tot))),
+    ref AS (SELECT line_id, min(lat) AS lat0 FROM smp GROUP BY 1),
+    sg AS (SELECT line_id, trace_id, lon * cos(radians(lat0)) * 111320.0 AS x1, lat * 111320.0 AS y1, lon2 * cos(radians(lat0)) * 111320.0 AS x2, lat2 * 111320.0 AS y2 FROM (
+      SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM trace_points WINDOW w AS (PARTITION BY trace_id ORDER BY point_index)) JOIN ref USING (line_id) WHERE lon2 IS NOT NULL),
+    pt AS (SELECT s.*, lon * cos(radians(lat0)) * 111320.0 AS px, lat * 111320.0 AS py FROM smp s JOIN ref USING (line_id)),
+    seen AS (SELECT p.route_id, p.k FROM pt p JOIN sg s ON s.line_id = p.line_id AND p.px BETWEEN s.x1 - 200 AND s.x2 + 200 WHERE {point_seg('p.px', 'p.py', 's.x1', 's.y1', 's.x2', 's.y2')} <= 30.0 GROUP BY 1, 2 HAVING count(DISTINCT trace_id) >= 2),
+    win AS (SELECT route_id, max(k) - min(k) + 1 AS n FROM seen GROUP BY 1)
+    SELECT t.line_id, t.route_id, coalesce(n, edges + 1) AS vertices FROM tot t LEFT JOIN win USING (route_id)""", "route_edges", "trace_points"))
 def clip_to_seen(t: Tables):
     out = ops.clip_to_seen(t.route_paths.select("line_id", "route_id", "path"), t.trace_points, ["line_id", "route_id"])
     return out.select("line_id", "route_id", F.size("path").alias("vertices"))
 
 
-@query("e06_completeness")
+@query("e06_completeness", with_tables(f"""WITH cut AS (SELECT e.*, q, count(*) OVER (PARTITION BY route_id, q) AS n FROM route_edges e, (VALUES (2), (3), (4)) AS v(q)),
+    tot AS (SELECT line_id, lane, q, sum({hav('lon1', 'lat1', 'lon2', 'lat2')}) AS m, min(lon1) AS a, max(lon2) AS b, min(lat1) AS lat FROM cut WHERE sequence < ceil((n + 1) * q / 4) - 1 GROUP BY 1, 2, 3),
+    smp AS (SELECT line_id, q, lat, a + (b - a) * unnest(generate_series(0, n - 1)) / (n - 1) AS lon FROM (SELECT *, greatest(2, CAST(floor(m / 8.0) AS BIGINT) + 1) AS n FROM tot)),
+    cell AS (SELECT DISTINCT line_id, q, CAST(floor(lon * cos(radians(-17.39)) * 111320.0 / 20) AS BIGINT) AS cx, CAST(floor(lat * 110540.0 / 20) AS BIGINT) AS cy FROM smp),
+    wide AS (SELECT DISTINCT line_id, cx + dx AS cx, cy + dy AS cy FROM cell, (VALUES (-1), (0), (1)) AS i(dx), (VALUES (-1), (0), (1)) AS j(dy) WHERE q = 2)
+    SELECT line_id, round(count(*) FILTER (WHERE q = 3 AND (line_id, cx, cy) IN (SELECT (line_id, cx, cy) FROM wide)) / CAST(count(*) FILTER (WHERE q = 3) AS DOUBLE), 3) AS completeness,
+      round(count(*) FILTER (WHERE q = 3) / CAST(count(*) FILTER (WHERE q = 4) AS DOUBLE), 3) AS coverage_envelope FROM cell GROUP BY 1""", "route_edges"))
 def completeness(t: Tables):
     part = lambda path: t.route_paths.select("line_id", F.col("lane").alias("part"), path.alias("path"))
     path, share = F.col("path"), lambda quarters: F.expr(f"slice(path, 1, ceil(size(path) * {quarters} / 4))")

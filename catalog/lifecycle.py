@@ -49,7 +49,12 @@ def merge_by_name(t: Tables):
     return ops.deduplicate_lines(t.lines, line_points(t))[1].where("why <> 'overlap'")
 
 
-@query("l01_deduplicate_lines")
+@query("l01_deduplicate_lines", with_tables(f"""WITH RECURSIVE {BOX}, {OVER}, pr AS (SELECT a, b, ratio FROM ov WHERE a < b AND ratio >= 0.7),
+    r AS (SELECT CAST([] AS BIGINT[]) AS gone, true AS grew
+      UNION ALL SELECT coalesce(any_value(x.more), any_value(r.gone)), any_value(x.more) IS NOT NULL FROM r LEFT JOIN LATERAL (
+        SELECT list_append(r.gone, arg_min(b, (-ratio, a, b))) AS more FROM pr WHERE NOT list_contains(r.gone, a) AND NOT list_contains(r.gone, b) HAVING count(*) > 0) x ON true WHERE r.grew GROUP BY r.gone),
+    n AS (SELECT max(len(gone)) AS n FROM r)
+    SELECT (SELECT count(*) FROM lines WHERE status = 'draft') AS draft_lines, 0 AS merged_by_name, 0 AS merged_into_existing, n AS merged_by_overlap, (SELECT count(*) FROM lines WHERE status = 'draft') - n AS promoted_to_pending FROM n""", "lines", "trace_points"))
 def deduplicate_lines(t: Tables):
     renamed = t.lines.withColumn("name", F.when(F.col("status") == "draft", F.concat(F.lit("Ruta "), F.col("line_id").cast("string"))).otherwise(F.col("name")))
     return ops.deduplicate_lines(renamed, line_points(t))[2]

@@ -31,8 +31,8 @@ def drop_reuploads(points: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return points.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(points.columns)
 
 
-def clean_on_end(end_events: DataFrame, clean: Callable[[DataFrame], dict[str, DataFrame]], write: Callable[[dict[str, DataFrame], int], None]):
-    """Run cleaning for the sessions ended in each micro-batch only.
+def ended_batches(clean: Callable[[DataFrame], dict[str, DataFrame]], write: Callable[[dict[str, DataFrame], int], None]) -> Callable[[DataFrame, int], None]:
+    """A sink for session ends that cleans the sessions ended in each micro-batch, and only them.
 
     ``clean`` maps a DataFrame of session ids to result tables; ``write`` stores
     them under the batch id, so a repeated batch overwrites itself.
@@ -42,4 +42,4 @@ def clean_on_end(end_events: DataFrame, clean: Callable[[DataFrame], dict[str, D
         ended = batch.where("line_id IS NOT NULL AND status = 'completed'").select("session_id").distinct()
         write(clean(ended), batch_id)
 
-    return end_events.writeStream.foreachBatch(handle)
+    return handle

@@ -2,61 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import latest_by
 from ..operators.votes import tallies
 
+KEYS = ("route_edge_id", "device_id")
 
-class VoteStore:
-    """Latest vote per (edge, device) and tallies, kept as numbered snapshots.
 
-    A micro-batch reads the snapshot before it and writes its own, so replaying
-    a batch after a failure gives the same files.
+def latest_votes(ballots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The vote in force of each key that a micro-batch touches (update mode).
+
+    ``ballots``: keys, vote, created_at. The later vote counts, of votes at one
+    time the one whose text is greater. The state holds one vote a key.
     """
+    last = ballots.groupBy(*keys).agg(F.max(F.struct("created_at", "vote")).alias("last"))
+    return last.select(*keys, "last.vote", "last.created_at")
+
+
+def append_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each micro-batch under its number, so that a repeated one replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def current_tallies(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Counts per edge from the changes that ``latest_votes`` gave, each key's last one."""
+    return tallies(latest_by(changes.select(*keys, "vote", "created_at"), list(keys), [F.col("created_at"), F.col("vote")]), keys[0])
+
+
+def confirmation_spells(confirms: DataFrame, days: int = 7, lateness: str = "1 day") -> DataFrame:
+    """Spells of confirmations per detour, none of them a week apart, once the watermark has passed their end.
+
+    ``confirms``: detour_id, at. A spell that ends means that the detour
+    expired, and its state is dropped; a later confirmation opens another spell.
+    """
+    window = F.session_window("at", f"{days} days")
+    return (
+        confirms.withWatermark("at", lateness).groupBy("detour_id", window)
+        .agg(F.count(F.lit(1)).alias("confirmed_count"), F.min("at").alias("first_confirmed_at"), F.max("at").alias("last_confirmed_at"))
+        .select("detour_id", "first_confirmed_at", "last_confirmed_at", "confirmed_count")
+    )
+
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ("route_edge_id", "device_id")):
-        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self, table: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not self._fs.exists(path):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(path)]
-        done = [n for n in names if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
-
-    def read(self, table: str = "votes", before: int | None = None) -> DataFrame | None:
-        found = [v for v in self._versions(table) if before is None or v < before]
-        return self.spark.read.parquet(f"{self.root}/{table}/v{found[-1]}") if found else None
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch: votes by latest per key, tallies of touched edges recomputed."""
-        edge = self.keys[0]
-        old = self.read("votes", before=batch_id)
-        new = batch.select(*self.keys, "vote", "created_at")
-        rows = new if old is None else old.unionByName(new)
-        votes_path, tally_path = f"{self.root}/votes/v{batch_id}", f"{self.root}/tallies/v{batch_id}"
-        latest_by(rows, self.keys, [F.col("created_at"), F.col("vote")]).write.mode("overwrite").parquet(votes_path)
-        votes = self.spark.read.parquet(votes_path)
-        touched = batch.select(edge).distinct()
-        fresh = tallies(votes.join(touched, edge, "left_semi"), edge)
-        kept = self.read("tallies", before=batch_id)
-        out = fresh if kept is None else kept.join(touched, edge, "left_anti").unionByName(fresh)
-        out.write.mode("overwrite").parquet(tally_path)
-
-
-def detour_state(confirms: DataFrame) -> DataFrame:
-    """Running confirmations per detour: last time and count (complete or update mode)."""
-    return confirms.groupBy("detour_id").agg(F.max("at").alias("last_confirmed_at"), F.count(F.lit(1)).alias("confirmed_count"))
-
-
-def live_detours(state: DataFrame, now, days: int = 7) -> DataFrame:
-    """Expiry is decided when reading: confirmed within the last week."""
-    return state.withColumn(
+def detours_at(spells: DataFrame, now, days: int = 7) -> DataFrame:
+    """All confirmations of each detour and whether it is live: confirmed within the last week."""
+    sums = spells.groupBy("detour_id").agg(F.sum("confirmed_count").alias("confirmed_count"), F.max("last_confirmed_at").alias("last_confirmed_at"))
+    return sums.withColumn(
         "status", F.when(F.col("last_confirmed_at") < now - F.expr(f"INTERVAL {days} DAYS"), "expired").otherwise("active")
     )
