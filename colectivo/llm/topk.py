@@ -210,26 +210,34 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
 
     def outline(held: pd.DataFrame) -> pd.DataFrame:
         low, high = np.vstack(held["low"].to_numpy()).min(0), np.vstack(held["high"].to_numpy()).max(0)
-        return pd.DataFrame({"shard": [held["shard"].iloc[0]], "low": [low], "high": [high], "least": [held["least"].min()]})
+        return pd.DataFrame({"shard": [held["shard"].iloc[0]], "low": [low], "high": [high], "least": [held["least"].min()], "most": [held["most"].max()], "n": [held["n"].sum()]})
 
     found = snapshot(blocks.where(F.exists("asks", lambda a: a)).select("shard").distinct().join(blocks, "shard").groupBy("shard").applyInPandas(
         own_shard, "query long, terms array<long>, shard long, kth long, kth_id long, ids array<long>, scores array<long>"
     ))
-    lines = snapshot(blocks.select("shard", "low", "high", F.array_min("ids").alias("least")).groupBy("shard").applyInPandas(
-        outline, "shard long, low array<long>, high array<long>, least long"
+    lines = snapshot(blocks.select("shard", "low", "high", F.array_min("ids").alias("least"), F.array_max("ids").alias("most"), F.size("ids").alias("n")).groupBy("shard").applyInPandas(
+        outline, "shard long, low array<long>, high array<long>, least long, most long, n long"
     ))
     groups, piles = -(-shape["asked"] // GROUP), -(-lines.count() // 1024)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     bucket = lambda c, n: F.pmod(F.xxhash64(F.lit("bucket"), c), F.lit(n)).cast("int")
     asked = found.select(bucket("query", groups).alias("group"), spread(piles).alias("pile"), "query", "terms", "shard", "kth", "kth_id")
-    offered = lines.select(spread(groups).alias("group"), bucket("shard", piles).alias("pile"), "shard", "low", "high", "least")
+    offered = lines.select(spread(groups).alias("group"), bucket("shard", piles).alias("pile"), "shard", "low", "high", "least", "most", "n")
 
     def choose(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["shard", "lane", "queries", "terms", "kth", "kth_id"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in names})
         q, kth, kth_id, ids = np.vstack(left["terms"].to_numpy()), left["kth"].to_numpy(), left["kth_id"].to_numpy(), left["query"].to_numpy()
-        most = bounds(q, np.vstack(right["low"].to_numpy()), np.vstack(right["high"].to_numpy()))
+        low, high = np.vstack(right["low"].to_numpy()), np.vstack(right["high"].to_numpy())
+        most = bounds(q, low, high)
+        alike = np.flatnonzero((low == high).all(1) & (right["n"].to_numpy() > k))
+        if len(alike):  # shards of copies: their score is known, so k of them are a k-th score; of equal ones the shard of smaller ids
+            alike = alike[np.argsort(right["most"].to_numpy()[alike], kind="stable")]
+            pick = alike[most[:, alike].argmax(1)]
+            score, beyond = most[np.arange(len(q)), pick], right["most"].to_numpy()[pick] + 1
+            up = (score > kth) | ((score == kth) & (beyond < kth_id))
+            kth, kth_id = np.where(up, score, kth), np.where(up, beyond, kth_id)
         open_ = (most > kth[:, None]) | ((most == kth[:, None]) & (right["least"].to_numpy()[None, :] < kth_id[:, None]))
         open_ &= left["shard"].to_numpy()[:, None] != right["shard"].to_numpy()[None, :]
         out = [(s, key[0] // LANE, ids[o], q[o].ravel(), kth[o], kth_id[o]) for s, o in zip(right["shard"], open_.T, strict=True) if o.any()]
