@@ -67,6 +67,13 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def small_batches(df: DataFrame, most: int = 8 << 20) -> None:
+    """Let the session's Arrow batches hold ``most`` bytes at most: on both sides of a Python worker a batch is held whole, several at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(key).rstrip("b")) > most:
+        df.sparkSession.conf.set(key, str(most))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``most`` bytes of text, or one row."""
     for batch in batches:

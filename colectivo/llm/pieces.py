@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_chunks, unpacked, with_text
+from .common import give_back, packed, small_batches, text_chunks, unpacked, with_text
 
 BLANK = "▁"
 #: Bytes of text taken at once, longest unit that runs with others in step, slots that remember weighed pairs.
@@ -359,7 +359,10 @@ _LOADED: dict[str, Transducer] = {}
 
 def transducer(path: str) -> Transducer:
     if path not in _LOADED:
-        _LOADED[path] = Transducer(path)
+        machine = _LOADED[path] = Transducer(path)
+        if machine.bpe:
+            _ = machine._dense  # compiled now, so that what compiling leaves behind goes back at once
+        give_back()
     return _LOADED[path]
 
 
@@ -377,6 +380,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", keep_text:
     together; long words and those with characters beyond Latin go one by one.
     """
     taken = ("piece_ids", "round_trip")
+    small_batches(docs)
     rows = docs.select(packed(docs, *taken, text_col).alias("row"), F.col(text_col).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
