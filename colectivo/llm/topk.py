@@ -100,7 +100,7 @@ def _terms(flat, dims: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.int64).reshape(-1, dims)
 
 
-def _pack(dims: int, shard_rows: int):
+def _pack(dims: int):
     """Cut sorted partitions into blocks of consecutive rows: ids, terms, and the least and greatest value of each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def _pack(dims: int, shard_rows: int):
 
         def block() -> pa.RecordBatch:
             ids, x, asks = (np.concatenate(c) for c in zip(*held, strict=True))
-            made = {"shard": (part << 32) + done * BLOCK // shard_rows, "low": x.min(0), "high": x.max(0), "ids": ids, "terms": x.ravel(), "asks": asks}
+            made = {"part": part, "start": done * BLOCK, "low": x.min(0), "high": x.max(0), "ids": ids, "terms": x.ravel(), "asks": asks}
             return pa.RecordBatch.from_pylist([made], schema=_BLOCK)
 
         for batch in batches:
@@ -132,7 +132,7 @@ def _pack(dims: int, shard_rows: int):
     return run
 
 
-_BLOCK = pa.schema([("shard", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("low", "high", "ids", "terms")), ("asks", pa.list_(pa.bool_()))])
+_BLOCK = pa.schema([("part", pa.int64()), ("start", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("low", "high", "ids", "terms")), ("asks", pa.list_(pa.bool_()))])
 
 
 def _ordered(kept: DataFrame, dims: int, seed_rows: list[np.ndarray]):
@@ -165,7 +165,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     column of ``rows``; other columns play no part. An empty table gives no rows.
 
     Rows are sorted by the planes that they lie above and cut into blocks of
-    256, neighbours in that order; a shard is up to 128 blocks. First each
+    256, neighbours in that order; a shard is some 2 048 to 32 768 consecutive rows. First each
     query searches its own shard, which brings a k-th score. Then groups of
     queries meet the shards' term maxima, and a query goes on only to shards
     whose bound reaches that score; there it takes blocks by falling bound, as
@@ -186,8 +186,11 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     shard_rows = min(SHARD, max(2048, -(-shape["n"] // (64 * BLOCK)) * BLOCK))
     sample = [np.pad(np.array(r["v"], dtype=np.int64), (0, dims - len(r["v"]))) for r in kept.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
     near = _ordered(kept, dims, sample).repartitionByRange(-(-shape["n"] // shard_rows), "key", "id").sortWithinPartitions("key", "id")
-    kind = "shard long, low array<long>, high array<long>, ids array<long>, terms array<long>, asks array<boolean>"
-    blocks = snapshot(near.select("id", "v", "q").mapInArrow(_pack(dims, shard_rows), kind))
+    kind = "part long, start long, low array<long>, high array<long>, ids array<long>, terms array<long>, asks array<boolean>"
+    blocks = snapshot(near.select("id", "v", "q").mapInArrow(_pack(dims), kind))
+    held = blocks.groupBy("part").agg(F.sum(F.size("ids")).alias("rows"))  # one row for each sorted range
+    before = held.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    blocks = snapshot(blocks.join(before, "part").withColumn("shard", F.floor((F.col("before") + F.col("start")) / shard_rows)).drop("part", "start", "before"))
 
     def terms(flat) -> np.ndarray:
         return np.asarray(flat, dtype=np.int64).reshape(-1, dims)
