@@ -94,6 +94,17 @@ def route_versions(t: Tables):
     return ops.route_versions(t.routes, t.route_edges).select("route_id", "version", "status", "edges")
 
 
+@query("j19_route_edges", with_tables("""WITH live AS (SELECT line_id, min_by(route_id, (-version, route_id)) AS route_id FROM routes WHERE status <> 'superseded' GROUP BY 1),
+    asked AS (SELECT line_id, CASE WHEN line_id % 2 = 0 THEN line_id * 10 + 2 ELSE route_id END AS route_id FROM live),
+    v AS (SELECT route_edge_id, count(*) FILTER (WHERE vote = 'approve') AS f, count(*) FILTER (WHERE vote = 'reject') AS a FROM route_votes GROUP BY 1)
+    SELECT e.line_id, e.route_id, e.route_edge_id, sequence, edge_id, coalesce(f, 0) AS votes_for, coalesce(a, 0) AS votes_against FROM asked JOIN route_edges e USING (line_id, route_id) LEFT JOIN v USING (route_edge_id)""", "routes", "route_edges", "route_votes"))
+def route_edge_listing(t: Tables):
+    """Even lines show their third lane, the others their latest live route."""
+    chosen = t.lines.selectExpr("line_id", "line_id * 10 + CASE WHEN line_id % 2 = 0 THEN 2 ELSE 999 END AS route_id")
+    out = ops.route_edge_listing(t.routes, t.route_edges, t.route_votes, chosen)
+    return out.select("line_id", "route_id", "route_edge_id", "sequence", "edge_id", "votes_for", "votes_against")
+
+
 @query("a02_lines_ready", with_tables("""SELECT line_id, count(*) AS trips FROM trips WHERE status = 'clean' AND line_id IN (SELECT line_id FROM lines WHERE status = 'approved')
     GROUP BY 1 HAVING count(*) >= 3""", "trips", "lines"))
 def lines_ready(t: Tables):

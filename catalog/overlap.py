@@ -82,6 +82,20 @@ def nearby_report(t: Tables):
     return out.select("point_id", "line_id", "name", "line_type", labels.alias("variants"), "active_detour")
 
 
+@query("j19_device_segments", with_tables(f"""WITH {pairs(50.0)}, n AS (SELECT device_id, line_id, count(*) AS trips FROM trips WHERE status = 'clean' GROUP BY 1, 2),
+    live AS (SELECT line_id, min_by(route_id, (-version, route_id)) AS route_id FROM routes WHERE status <> 'superseded' GROUP BY 1)
+    SELECT n.device_id, n.line_id, n.trips, n.trips >= 3 AS eligible, count(p.route_edge_id) AS edges, min(p.sequence) AS first_sequence FROM n LEFT JOIN (
+      SELECT p.* FROM pairs p JOIN route_edges e USING (route_edge_id) JOIN live l ON l.line_id = e.line_id AND l.route_id = e.route_id
+      WHERE NOT EXISTS (SELECT 1 FROM route_votes v WHERE v.device_id = p.device_id AND v.route_edge_id = p.route_edge_id)) p ON p.device_id = n.device_id AND p.line_id = n.line_id AND n.trips >= 3 GROUP BY 1, 2, 3, 4""",
+    *NEED, "trips", "routes", "route_votes"))
+def device_segments(t: Tables):
+    from colectivo.operators import listings
+
+    state, shown = listings.device_segments(t.routes, t.route_edges, ops.overlapping(edges(t), segments(t), ["device_id"]), t.route_votes, device_trips(t))
+    sums = shown.groupBy("device_id", "line_id").agg(F.count(F.lit(1)).alias("edges"), F.min("sequence").alias("first_sequence"))
+    return state.join(sums, ["device_id", "line_id"], "left").fillna(0, ["edges"])
+
+
 @query("w04_voteable_sections", with_tables(f"""WITH {pairs(50.0)}, runs AS (SELECT *, sequence - row_number() OVER (PARTITION BY device_id, line_id ORDER BY sequence) AS run FROM pairs)
     SELECT device_id, line_id, dense_rank() OVER (PARTITION BY device_id, line_id ORDER BY run) - 1 AS section_index, count(*) AS edges, min(sequence) AS first_sequence,
     1 AS trips, count(*) + 1 AS vertices FROM runs GROUP BY device_id, line_id, run""", *NEED))

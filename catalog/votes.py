@@ -86,6 +86,17 @@ def resolve_line_votes(t: Tables):
     return ops.resolve_lines(t.lines, line_votes(t)).select("line_id", "status")
 
 
+@query("s03_import_votes", with_tables("""WITH fresh AS (SELECT line_id, lane, edge_id, route_edge_id + 500000000 AS new_edge FROM route_edges WHERE sequence % 5 > 0),
+    moves AS (SELECT e.route_edge_id AS old_edge, new_edge FROM route_edges e JOIN fresh f ON f.line_id = e.line_id AND f.edge_id = e.edge_id AND f.lane = 0)
+    SELECT f.new_edge AS route_edge_id, count(*) FILTER (WHERE vote = 'approve') AS votes_for, count(*) FILTER (WHERE vote = 'reject') AS votes_against, count(vote) AS moved FROM fresh f LEFT JOIN moves USING (new_edge) LEFT JOIN route_votes v ON v.route_edge_id = old_edge GROUP BY 1""", "route_edges", "route_votes"))
+def imported_votes(t: Tables):
+    """An import in three fragments, each fifth edge gone: the first fragment takes over the votes."""
+    new = t.route_edges.where("sequence % 5 > 0").selectExpr("line_id", "cast(lane AS int) AS fragment_index", "route_edge_id + 500000000 AS route_edge_id", "sequence", "edge_id", "forward")
+    counted, moved = ops.import_votes(t.route_edges.select("line_id", "route_id", "route_edge_id", "sequence", "edge_id", "forward"), new, t.route_votes)
+    own = moved.where("moved").groupBy("route_edge_id").agg(F.count(F.lit(1)).alias("moved"))
+    return counted.join(own, "route_edge_id", "left").fillna(0, ["moved"]).select("route_edge_id", "votes_for", "votes_against", "moved")
+
+
 @query("j13_vote_carry_over", with_tables("""WITH old AS (SELECT line_id, lane, edge_id, max_by(route_edge_id, sequence) AS old_edge FROM route_edges GROUP BY ALL),
     fresh AS (SELECT line_id, lane, edge_id, route_edge_id + 500000000 AS new_edge FROM route_edges WHERE sequence % 5 > 0),
     moves AS (SELECT old_edge, new_edge FROM old JOIN fresh USING (line_id, lane, edge_id))

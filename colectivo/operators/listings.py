@@ -12,6 +12,7 @@ from ..functions.scalar import micros
 from ..session import snapshot
 from .ordered import with_neighbours
 from .quantiles import exact_quantiles
+from .votes import tallies
 
 
 def page(df: DataFrame, order: Sequence[Column | str], offset: int = 0, limit: int = 100) -> DataFrame:
@@ -55,6 +56,29 @@ def active_route_per_line(routes: DataFrame) -> DataFrame:
     return best.select("line_id", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*routes.columns)
 
 
+def route_edge_listing(routes: DataFrame, edges: DataFrame, votes: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Edges of one route a line with their vote counts: the route in ``chosen`` (line_id, route_id), else its latest live version."""
+    default = active_route_per_line(routes).select("line_id", "route_id")
+    if chosen is not None:
+        asked = chosen.join(routes.select("line_id", "route_id"), ["line_id", "route_id"], "left_semi")
+        default = default.join(asked.select("line_id"), "line_id", "left_anti").unionByName(asked)
+    return edges.drop("line_id", "votes_for", "votes_against").join(default, "route_id").join(tallies(votes, "route_edge_id"), "route_edge_id", "left").fillna(0, ["votes_for", "votes_against"])
+
+
+def device_segments(routes: DataFrame, edges: DataFrame, overlaps: DataFrame, votes: DataFrame, trip_counts: DataFrame, min_trips: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What each device is shown of each line that it rides.
+
+    ``overlaps``: device_id, route_edge_id along the device's trips; ``trip_counts``:
+    device_id, line_id, trips. Returns eligibility (device_id, line_id, trips,
+    eligible) and, for eligible devices, the edges of the line's live route
+    that they ride and haven't voted on.
+    """
+    state = trip_counts.select("device_id", "line_id", "trips", (F.col("trips") >= min_trips).alias("eligible"))
+    shown = route_edge_listing(routes, edges, votes)
+    mine = overlaps.select("device_id", "route_edge_id").distinct().join(votes.select("device_id", "route_edge_id"), ["device_id", "route_edge_id"], "left_anti")
+    return state, shown.join(mine, "route_edge_id").join(state.where("eligible").select("device_id", "line_id"), ["device_id", "line_id"], "left_semi")
+
+
 def latest_version_per_variant(routes: DataFrame) -> DataFrame:
     rest = [c for c in routes.columns if c not in ("line_id", "ramal_label")]
     best = routes.groupBy("line_id", "ramal_label").agg(F.max_by(F.struct(*rest), F.struct("version", "route_id")).alias("_r"))

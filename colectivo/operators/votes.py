@@ -162,6 +162,32 @@ def carry_votes(old_edges: DataFrame, new_edges: DataFrame, votes: DataFrame) ->
     return carried, moved
 
 
+def import_votes(previous: DataFrame, new_edges: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hand the votes of a line's superseded routes to the first fragment of its import.
+
+    ``previous``: line_id, route_id, route_edge_id, sequence, edge_id, forward of
+    the superseded routes; ``new_edges``: the same with fragment_index. Edges
+    match by road edge and direction. Of several previous routes with an edge
+    all votes move, and the counters are those of the last route; of a device
+    that voted on several of them the latest vote stays. Returns the new edges
+    with counters and the votes with their new owner and a ``moved`` flag.
+    """
+    key = ["line_id", "edge_id", "forward"]
+    old = previous.where("edge_id IS NOT NULL").groupBy(*key, "route_id").agg(F.max_by("route_edge_id", "sequence").alias("old_edge"))
+    first = new_edges.where("edge_id IS NOT NULL AND fragment_index = 0")
+    owner = first.groupBy(*key).agg(F.min_by("route_edge_id", "sequence").alias("owner"))
+    moves = old.join(owner, key).select("old_edge", "owner")
+    last = old.groupBy(*key).agg(F.max_by("old_edge", "route_id").alias("old_edge"))
+    counts = last.join(tallies(votes.withColumnRenamed("route_edge_id", "old_edge"), "old_edge"), "old_edge").drop("old_edge")
+    counted = new_edges.drop("votes_for", "votes_against").join(counts.withColumn("fragment_index", F.lit(0)), [*key, "fragment_index"], "left")
+    moved = votes.join(moves, votes["route_edge_id"] == moves["old_edge"], "left").select(
+        *[F.coalesce("owner", "route_edge_id").alias(c) if c == "route_edge_id" else F.col(c) for c in votes.columns], F.col("owner").isNotNull().alias("moved"),
+    )
+    rest = [c for c in moved.columns if c not in ("route_edge_id", "device_id")]
+    one = moved.groupBy("route_edge_id", "device_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", "vote")).alias("v"))
+    return counted.fillna(0, ["votes_for", "votes_against"]), one.select("route_edge_id", "device_id", "v.*").select(*moved.columns)
+
+
 def create_descriptors(requests: DataFrame) -> DataFrame:
     """Accept the first text per (route, normalised text); the rest are conflicts.
 

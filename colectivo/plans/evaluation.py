@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators.frechet import frechet, shapes_of
 from ..operators.polyline import project, resample_even, to_segments
+from ..session import snapshot
 
 CELL_M = 20.0
 
@@ -119,6 +120,29 @@ def best_variants(results: DataFrame, line: str = "line_id") -> DataFrame:
     return best.select(line, "route_key", *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
+def route_reports(routes: DataFrame, edges: DataFrame, truth: DataFrame, truth_edges: DataFrame, line: str = "line_id") -> DataFrame:
+    """One row per route: its best truth with distances and truncation, coverage of that truth, edge precision and recall, gap and counts.
+
+    ``routes``: line, route_key, path; ``edges``: line, route_key, sequence,
+    edge_id, forward, inferred, path; ``truth``: line, variant, heading, path;
+    ``truth_edges``: line, variant, edge_id, forward.
+    """
+    key, of = [line, "route_key"], [line, "variant", "heading"]
+    best = snapshot(best_variants(evaluate_routes(routes, truth, line), line))
+    chosen = best.select(*key, "variant", "heading")
+    wanted = chosen.join(truth, of).select(*key, "path")
+    covered = coverage_scores(wanted, routes.select(*key, F.lit(0).alias("part"), "path"), key, key)
+    own = edges.select(*key, "edge_id", "forward", "inferred")
+    right = edge_precision_recall(own, chosen.join(truth_edges, [line, "variant"]).select(*key, "edge_id", "forward"), key)
+    counts = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("consensus_edges"), F.count_if("inferred").alias("inferred_edges"))
+    out = best.join(covered, key, "left").join(right, key, "left").join(junction_gaps(edges, key), key, "left").join(counts, key, "left")
+    share = lambda c: F.round(c, 4).alias(c)
+    return out.select(
+        *key, "variant", "heading", "frechet_m", "frechet_overlap_m", "start_truncation_m", "end_truncation_m", share("coverage"), share("edge_precision"), share("edge_recall"),
+        F.coalesce("max_junction_gap_m", F.lit(0.0)).alias("max_junction_gap_m"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("consensus_edges", "inferred_edges")),
+    )
+
+
 def touched_cells(paths: DataFrame, keys: Sequence[str], on: Sequence[str], ref_lat, dilate: bool = False, step_m: float = 8.0) -> DataFrame:
     """Distinct 20 m cells touched by paths sampled every 8 m: on, cx, cy."""
     dense = resample_even(path_points(paths, keys), keys, "i", step_m)
