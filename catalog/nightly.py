@@ -53,6 +53,20 @@ def platform(t: Tables) -> nightly.Tables:
     }
 
 
+def lane_average(points, edges, shapes, existing):
+    """A plain strategy whose outcome SQL can state: the mean of all traces of a lane at each lattice step.
+
+    The default strategy is the consensus run, whose paths g13 to g25 look at.
+    """
+    at = points.selectExpr("line_id", "trace_id", "trace_id % 3 AS lane", "cast(round((lon + 66.20D) / 0.00094D) AS int) AS k", "lon", "lat")
+    step = at.groupBy("line_id", "lane", "k").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("k", "lon", "lat"))), lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat")))
+    riders = at.groupBy("line_id", "lane").agg(F.count_distinct("trace_id").alias("trace_count"))
+    out = step.groupBy("line_id", "lane").agg(path.alias("path")).join(riders, ["line_id", "lane"])
+    return out.selectExpr("line_id", "element_at(array('main', 'r2', 'r3'), cast(lane AS int) + 1) AS ramal_label", "path", "trace_count")
+
+
+PARAMS = {"reconstruct_routes": {"strategy": lane_average, "strategy_key": "lane_average", "threshold_m": 1000.0}}
 #: Counts that hang on the shape of the paths just built; tests check them, not SQL.
 BY_PATH = "step NOT IN ('resolve_edge_votes', 'resolve_routes', 'rebuild_graph')"
 
@@ -73,7 +87,7 @@ def counts_of(run: nightly.Run, tables: nightly.Tables, number: int):
     lane AS (SELECT home, trace_id % 3 AS lane, max(point_index) + 2 AS vertices FROM mine GROUP BY 1, 2),
     ready AS (SELECT home FROM ses WHERE NOT silent AND n >= 2 GROUP BY 1 HAVING count(*) >= 2),
     built AS (SELECT DISTINCT s.home, s.trace_id % 3 AS lane FROM ses s JOIN ready USING (home) WHERE NOT silent),
-    fate AS (SELECT l.home, l.lane, CASE WHEN l.lane = 2 THEN 'create' WHEN l.lane = 0 OR {hav('0', '-17.39', '0.00094 * (l.vertices - ceil(l.vertices * 0.6))', '-17.39')} < 50 THEN 'unchanged' ELSE 'supersede' END AS fate FROM lane l JOIN built USING (home, lane)),
+    fate AS (SELECT l.home, l.lane, CASE WHEN l.lane = 2 THEN 'create' WHEN l.lane = 0 OR {hav('0', '-17.39', '0.00094 * (l.vertices - ceil(l.vertices * 0.6))', '-17.39')} < 1000 THEN 'unchanged' ELSE 'supersede' END AS fate FROM lane l JOIN built USING (home, lane)),
     tally AS (SELECT line_id, count(*) FILTER (WHERE vote = 'approve') AS f, count(*) FILTER (WHERE vote = 'reject') AS a FROM line_votes GROUP BY 1),
     dow AS (SELECT home, CASE isodow(started_at - INTERVAL 4 HOUR) WHEN 6 THEN 'sat' WHEN 7 THEN 'sun' ELSE 'week' END AS bucket FROM ses WHERE NOT silent),
     z AS (SELECT count(*) AS n, count(boarding_zone_id) AS b, count(alighting_zone_id) AS a, count(*) FILTER (WHERE boarding_zone_id IS NULL OR alighting_zone_id IS NULL) AS open_ FROM zoned_reports),
@@ -96,10 +110,10 @@ def counts_of(run: nightly.Run, tables: nightly.Tables, number: int):
 def nightly_run(t: Tables):
     """The ten steps twice, the second time on what the first run published: nothing is left to do or to write."""
     folder = f"{checkpoint_root(t.spark)}/nightly-{uuid.uuid4().hex}"
-    first = nightly.run(platform(t), F.to_timestamp(F.lit(NOW)))
+    first = nightly.run(platform(t), F.to_timestamp(F.lit(NOW)), params=PARAMS)
     nightly.publish(first, folder)
     stored = nightly.published(t.spark, folder, first.tables)
-    second = nightly.run(stored, F.to_timestamp(F.lit(NOW)))
+    second = nightly.run(stored, F.to_timestamp(F.lit(NOW)), params=PARAMS)
     parts = nightly.publish(second, folder).join(t.spark.createDataFrame([(n,) for n in first.tables if "line_id" in first.tables[n].columns], "name string"), "name")
     rewritten = parts.agg(F.sum("parts").alias("value")).selectExpr("'publish' AS step", "'completed' AS status", "'parts' AS metric", "value", "2 AS run")
     out = counts_of(first, stored, 1).unionByName(counts_of(second, second.tables, 2)).where(BY_PATH).unionByName(rewritten)

@@ -192,10 +192,22 @@ def clean_traces(t: Tables, touched: DataFrame, now: Column, min_edges: int = 2)
 
 
 def consensus_routes(points: DataFrame, edges: DataFrame, shapes: DataFrame, existing: DataFrame) -> DataFrame:
-    """The default strategy: consensus of all traces, its variants named after the live routes they resemble."""
-    out = consensus.reconstruct(points, edges, shapes, Engine(), existing=existing)
-    label = F.when(F.col("direction_group") == 0, F.col("ramal_label")).otherwise(F.concat_ws("-", "ramal_label", F.col("direction_group").cast("string")))
-    return out.routes.select("line_id", label.alias("ramal_label"), "path", "trace_count")
+    """The default strategy: consensus of all traces, its variants named after the live routes they resemble.
+
+    A line's directions are told apart, so a label may come once for each; all
+    that resemble no live route get the next free names of their line.
+    """
+    known = "="  # marks labels that were matched to a live route
+    out = consensus.reconstruct(points, edges, shapes, Engine(), existing=existing.withColumn("ramal_label", F.concat(F.lit(known), "ramal_label")))
+    found = out.routes.withColumn("old", F.when(F.col("ramal_label").startswith(known), F.substring("ramal_label", 2, 1000)))
+    best = Window.partitionBy("line_id", "old").orderBy(F.desc("trace_count"), "direction_group", "route_key")
+    found = snapshot(found.withColumn("old", F.when(F.row_number().over(best) == 1, F.col("old"))))
+    used = existing.groupBy("line_id").agg(F.collect_set("ramal_label").alias("used"))  # a line has few variants
+    fresh = found.where("old IS NULL").withColumn("k", F.row_number().over(Window.partitionBy("line_id").orderBy("direction_group", "ramal_label", "route_key")))
+    fresh = fresh.join(used, "line_id", "left").withColumn("used", F.coalesce("used", F.expr("cast(array() AS array<string>)")))
+    names = F.transform(F.sequence(F.lit(1), F.col("k") + F.size("used")), lambda i: F.when(i == 1, "main").otherwise(F.concat(F.lit("r"), i.cast("string"))))
+    named = fresh.select("line_id", F.element_at(F.array_except(names, F.col("used")), F.col("k")).alias("ramal_label"), "path", "trace_count")
+    return named.unionByName(found.where("old IS NOT NULL").select("line_id", F.col("old").alias("ramal_label"), "path", "trace_count"))
 
 
 def stored_routes(decided: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
