@@ -108,4 +108,3 @@ class Routing:
     node_merge_m: float = 20.0
     transfer_m: float = 400.0
     access_m: float = 800.0
-    max_rounds: int = 12

@@ -150,7 +150,10 @@ def travel_times(
 ) -> tuple[DataFrame, DataFrame]:
     """Least time per pair (od_id, olon, olat, dlon, dlat) and its legs.
 
-    Pairs with the same origin share one search. Unreachable pairs give no row.
+    Pairs with the same origin share one search, and it is bounded by its goals:
+    once all goals of an origin that have a node near them are reached, a node
+    farther than the worst of these arrivals can't better any of them and is
+    dropped before it spreads. Unreachable pairs give no row.
     Returns totals (od_id, seconds, metres, legs) and legs (od_id, leg, mode,
     line_id, from_node, to_node, metres, seconds).
     """
@@ -174,8 +177,14 @@ def travel_times(
     )
     cols = ["time", "prev", "mode", "line_id", "metres", "step_s"]
     state = snapshot(state)
+    out = snapshot(access_edges(goals, nodes, cfg).select(F.col("place_id").alias("goal"), "node_id", F.col("seconds").alias("out_s"), F.col("metres").alias("out_m")))
+    ways = snapshot(asked.select("origin", "goal").distinct().join(out, "goal"))
+    reached = ways.select("origin", "goal").distinct().withColumn("best", F.lit(None).cast("double"))
     frontier = state
     while True:
+        fresh = frontier.select("origin", "node_id", "time").join(ways, ["origin", "node_id"]).groupBy("origin", "goal").agg(F.min(F.col("time") + F.col("out_s")).alias("now"))
+        reached = snapshot(reached.join(fresh, ["origin", "goal"], "left").select("origin", "goal", F.least("best", "now").alias("best")))
+        bound = reached.groupBy("origin").agg(F.when(F.count("best") == F.count(F.lit(1)), F.max("best")).alias("bound"))
         board = frontier.select("origin", "node_id", "time").join(usable, "node_id").select("origin", "route_id", "pos", F.struct((F.col("time") - F.col("t")).alias("head"), F.col("node_id").alias("at"), F.col("m").alias("m0"), F.col("t").alias("t0")).alias("b"))
         touched = board.select("origin", "route_id").distinct()
         rides = touched.join(usable, "route_id").join(board, ["origin", "route_id", "pos"], "left")
@@ -187,11 +196,11 @@ def travel_times(
         )
         offers = ridden.union(walked).groupBy("origin", "node_id").agg(F.min_by(F.struct(*cols), F.struct("time", "mode", "prev")).alias("o")).select("origin", "node_id", "o.*")
         known = state.select("origin", "node_id", F.col("time").alias("was"))
-        frontier = snapshot(offers.join(known, ["origin", "node_id"], "left").where("was IS NULL OR time < was - 1e-9").drop("was"))
+        open_ = offers.join(known, ["origin", "node_id"], "left").where("was IS NULL OR time < was - 1e-9").drop("was")
+        frontier = snapshot(open_.join(bound, "origin", "left").where("bound IS NULL OR time <= bound").drop("bound"))
         if frontier.isEmpty():
             break
         state = snapshot(state.join(frontier.select("origin", "node_id"), ["origin", "node_id"], "left_anti").unionByName(frontier))
-    out = access_edges(goals, nodes, cfg).select(F.col("place_id").alias("goal"), "node_id", F.col("seconds").alias("out_s"), F.col("metres").alias("out_m"))
     done = asked.select("od_id", "origin", "goal").join(out, "goal").join(state.select("origin", "node_id", "time"), ["origin", "node_id"])
     best = snapshot(done.groupBy("od_id", "origin").agg(F.min(F.struct((F.col("time") + F.col("out_s")).alias("seconds"), "node_id", "out_s", "out_m")).alias("b")).select("od_id", "origin", "b.*"))
     last = best.select("od_id", F.lit(0).alias("back"), F.lit("walk").alias("mode"), none.cast(line_type).alias("line_id"), F.col("node_id").alias("from_node"), none.cast("string").alias("to_node"), F.col("out_m").alias("metres"), F.col("out_s").alias("seconds"))
