@@ -1,8 +1,9 @@
 """Figures that must grow with the input and not with its pairs, beside brute force."""
 
 import math
+import random
 
-from colectivo.operators import support
+from colectivo.operators import support, votes
 
 
 def shuffled_rows(spark, run):
@@ -19,6 +20,23 @@ def shuffled_rows(spark, run):
     return out, sum(n for k, n in rows().items() if k not in before)
 
 
+def most_rows(spark, df):
+    """Rows of ``df`` and the greatest number of rows that a node of its plan made."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        out, made, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    while todo:
+        node = todo.pop()
+        rows = node.metrics().get("numOutputRows")
+        made = max(made, rows.get().value() if rows.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out, made
+
+
 def test_coverage_counts_traces_once_for_each_cell(spark):
     nodes, traces = 200, 200
     points = [(1, t, -66.2 + 0.00094 * i, -17.39 + 0.000001 * t) for t in range(traces) for i in range(3)]
@@ -40,3 +58,23 @@ def test_coverage_counts_traces_once_for_each_cell(spark):
             want = traces + 1
         assert r.coverage == want
     assert moved < 10 * (len(points) + nodes)  # nodes x traces would be 40 000
+
+
+def test_latest_ballot_is_spread_once(spark):
+    rng = random.Random(5)
+    ballots = [(d, 1, rng.choice(["approve", "reject"]), rng.randint(0, 50), rng.choice([None, 0, 1])) for d in range(2) for _ in range(150)]
+    near = [(d, 1, e, e % 2) for d in range(2) for e in range(100)]
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    trips = frame([(0, 1, 9), (1, 1, 9)], "device_id bigint, line_id bigint, trips bigint")
+    stored = frame([(0, 0, "approve", 1000)], "route_edge_id bigint, device_id bigint, vote string, created_at bigint")
+    overlaps = frame(near, "device_id bigint, line_id bigint, route_edge_id bigint, section_index int")
+    for sections in (True, False):
+        cast = frame(ballots, "device_id bigint, line_id bigint, vote string, created_at bigint, section_index int")
+        cast = cast if sections else cast.drop("section_index")
+        out, made = most_rows(spark, votes.cast_votes(stored, cast, overlaps, trips))
+        want = {}
+        for d, line, e, at in near:
+            heard = [(c, v) for o, _, v, c, section in ballots if o == d and (not sections or section in (None, at))]
+            want[e, d] = max(heard + ([(1000, "approve")] if (e, d) == (0, 0) else []))
+        assert {(r.route_edge_id, r.device_id): (r.created_at, r.vote) for r in out} == want
+        assert made <= 6 * len(near)  # each ballot on each edge would be 30 000
