@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from colectivo.operators import listings, overlap as ops
+from colectivo.session import snapshot
 from fixtures import Tables, point_seg, seg_seg, with_tables
 
 
@@ -102,9 +103,10 @@ def device_segments(t: Tables):
 def voteable_sections(t: Tables):
     shaped = t.route_edges.selectExpr("route_edge_id", "sequence",
                                       "array(named_struct('lon', lon1, 'lat', lat1), named_struct('lon', lon2, 'lat', lat2)) AS path")
-    mine = ops.overlapping(edges(t), segments(t), ["device_id"])
-    per_trip = ops.overlapping(edges(t), segments(t), ["device_id", "session_id"]).withColumnRenamed("session_id", "trip_id").drop("line_id")
-    out = ops.voteable_sections(mine, per_trip, shaped)
+    # One search gives both: a device runs along the edges of its trips.
+    per_trip = snapshot(ops.overlapping(edges(t), segments(t), ["device_id", "session_id"]).withColumnRenamed("session_id", "trip_id"))
+    mine = per_trip.select("device_id", "line_id", "route_edge_id").distinct()
+    out = ops.voteable_sections(mine, per_trip.drop("line_id"), shaped)
     return out.select("device_id", "line_id", "section_index", "edges", "first_sequence", "trips", F.size("geometry").alias("vertices"))
 
 

@@ -3,7 +3,8 @@
 import math
 import random
 
-from colectivo.operators import support, votes
+from colectivo.operators import overlap, support, votes
+from fixtures import Tables
 
 
 def shuffled_rows(spark, run):
@@ -78,3 +79,16 @@ def test_latest_ballot_is_spread_once(spark):
             want[e, d] = max(heard + ([(1000, "approve")] if (e, d) == (0, 0) else []))
         assert {(r.route_edge_id, r.device_id): (r.created_at, r.vote) for r in out} == want
         assert made <= 6 * len(near)  # each ballot on each edge would be 30 000
+
+
+def test_sections_search_edges_once(spark, monkeypatch):
+    import catalog
+
+    catalog.load()
+    calls, search = [], overlap.overlapping
+    monkeypatch.setattr(overlap, "overlapping", lambda *a, **k: calls.append(a) or search(*a, **k))
+    folder = "/root/testdata/sf0.001"
+    out = catalog.QUERIES["w04_voteable_sections"](spark, folder)
+    assert len(calls) == 1
+    traces = Tables(spark, folder).trace_points.select("trace_id").distinct().count()
+    assert out.select("device_id").distinct().count() == traces and out.where("trips <> 1").isEmpty()
