@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.frechet import frechet, shapes_of
+from ..operators.grid import segment_cells, spread_join, with_cell
 from ..operators.polyline import project, resample_even, to_segments
 from ..session import snapshot
 
 CELL_M = 20.0
+SEEN_CELL_M = 128.0
 
 
 def path_points(df: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
@@ -47,9 +49,16 @@ def clip_to_seen(truth: DataFrame, points: DataFrame, keys: Sequence[str], line:
     ref = samples.groupBy(line).agg(F.min("lat").alias("ref_lat"))
     flat = lambda df: df.join(ref, line).withColumns(dict(zip(("px", "py"), geo.equirect("lon", "lat", "ref_lat"))))
     segments = to_segments(flat(points).select(line, "trace_id", "point_index", "px", "py"), [line, "trace_id"], "point_index", "px", "py", pos=False)
-    segments = segments.withColumns({"pos": F.lit(0.0), "len": F.lit(0.0)})
-    seen = project(flat(samples).select(*keys, "k", "px", "py"), segments, [line], tolerance_m, [*keys, "k", "trace_id"])
-    enough = seen.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_traces)
+    # Cells wide enough that a segment lies in few; a cell that it meets twice changes no result.
+    size = max(tolerance_m, SEEN_CELL_M)
+    cells = segment_cells(segments.select(line, "trace_id", "x1", "y1", "x2", "y2"), size, tolerance_m)
+    pairs = spread_join(with_cell(flat(samples).select(*dict.fromkeys([*keys, line]), "k", "px", "py"), "px", "py", size), cells, [line, "cx", "cy"])
+    near = pairs.where(geo.point_segment("px", "py", "x1", "y1", "x2", "y2") <= tolerance_m)
+    if min_traces <= 2:  # least and greatest trace tell one from more, in a row for each sample and task
+        several = near.groupBy(*keys, "k").agg(F.min("trace_id").alias("a"), F.max("trace_id").alias("b"))
+        enough = several.where("a < b") if min_traces == 2 else several
+    else:
+        enough = near.select(*keys, "k", "trace_id").distinct().groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_traces)
     window = enough.groupBy(*keys).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     cut = shapes_of(samples.join(window, keys).where("k BETWEEN lo AND hi"), keys)
     return truth.select(*keys, F.col("path").alias("_whole")).join(cut, keys, "left").select(*keys, F.coalesce("path", "_whole").alias("path"))

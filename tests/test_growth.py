@@ -3,7 +3,8 @@
 import math
 import random
 
-from colectivo.operators import overlap, support, votes
+from colectivo.operators import cleaning, overlap, support, votes
+from colectivo.plans import evaluation
 from fixtures import Tables
 
 
@@ -92,3 +93,38 @@ def test_sections_search_edges_once(spark, monkeypatch):
     assert len(calls) == 1
     traces = Tables(spark, folder).trace_points.select("trace_id").distinct().count()
     assert out.select("device_id").distinct().count() == traces and out.where("trips <> 1").isEmpty()
+
+
+def test_despiked_shapes_move_few_copies(spark):
+    rng = random.Random(6)
+    at = lambda: (-66.2 + rng.random() * 0.004, -17.39 + rng.random() * 0.004)
+    points = [(t, *at()) for t in range(3) for _ in range(60)]
+    shapes = [(t, s, v, *at()) for t in range(3) for s in range(40) for v in range(4)]
+    pts = spark.createDataFrame(points, "trace_id bigint, lon double, lat double")
+    shp = spark.createDataFrame(shapes, "trace_id bigint, seq bigint, vertex bigint, lon double, lat double")
+    out, moved = shuffled_rows(spark, lambda: cleaning.despike_edge_shapes(shp, pts, ["trace_id"]).collect())
+    want = set()
+    for t in range(3):
+        mine = [(lon, lat) for o, lon, lat in points if o == t]
+        k = math.cos(math.radians(min(lat for _, lat in mine))) * 111320.0
+        for s in range(40):
+            verts = [r for r in shapes if r[:2] == (t, s)]
+            near = {r[2] for r in verts if any(math.hypot((r[3] - x) * k, (r[4] - y) * 110540.0) <= 30 for x, y in mine)}
+            want |= {(t, s, r[2]) for r in verts if r[2] in near or len(near) < 2}
+    assert {(r.trace_id, r.seq, r.vertex) for r in out} == want
+    assert moved < 8 * (len(shapes) + len(points))  # nine copies of each vertex alone were 4 320
+
+
+def test_clipping_keeps_no_row_of_each_trace_and_sample(spark):
+    traces, end = 150, 6
+    points = [(1, t, i, -66.2 + 0.0009 * i, -17.39) for t in range(traces) for i in range(1, end - (t > 0))] + [(2, 0, 0, 0.0, 0.0), (2, 0, 1, 0.001, 0.0)]
+    truth = [(line, [(-66.2 + 0.0009 * i, -17.39) for i in range(end)]) for line in (1, 2)]
+    pts = spark.createDataFrame(points, "line_id bigint, trace_id bigint, point_index bigint, lon double, lat double")
+    whole = spark.createDataFrame(truth, "line_id bigint, path array<struct<lon:double,lat:double>>")
+    clip = lambda n: evaluation.clip_to_seen(whole, pts, ["line_id"], min_traces=n, step_m=2.0)
+    out, moved = shuffled_rows(spark, lambda: clip(2).collect())
+    lon = {r.line_id: [p.lon for p in r.path] for r in out}
+    assert -66.2 + 0.0009 - 0.0003 <= lon[1][0] <= -66.2 + 0.0009 and -66.2 + 0.0036 <= lon[1][-1] <= -66.2 + 0.0036 + 0.0003 and len(lon[2]) == end
+    assert [[p.lon for p in r.path] for r in clip(3).collect() if r.line_id == 1][0] == lon[1]
+    assert [r for r in clip(1).collect() if r.line_id == 1][0].path[-1].lon > lon[1][-1] + 0.0005
+    assert moved < 10 * len(points)
