@@ -14,6 +14,7 @@ def shuffled_rows(spark, run):
     none = lambda: gateway.jvm.java.util.ArrayList()
 
     def rows():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         stages = store.stageList(none(), False, False, gateway.new_array(gateway.jvm.double, 0), none())
         return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
 
@@ -127,4 +128,4 @@ def test_clipping_keeps_no_row_of_each_trace_and_sample(spark):
     assert -66.2 + 0.0009 - 0.0003 <= lon[1][0] <= -66.2 + 0.0009 and -66.2 + 0.0036 <= lon[1][-1] <= -66.2 + 0.0036 + 0.0003 and len(lon[2]) == end
     assert [[p.lon for p in r.path] for r in clip(3).collect() if r.line_id == 1][0] == lon[1]
     assert [r for r in clip(1).collect() if r.line_id == 1][0].path[-1].lon > lon[1][-1] + 0.0005
-    assert moved < 10 * len(points)
+    assert moved < 12 * len(points)  # a row of each sample and trace would be about 25 000
