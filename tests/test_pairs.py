@@ -29,3 +29,29 @@ def test_close_pairs_across_blocks(spark, monkeypatch):
     want = {k: d for k, d in want.items() if d <= 60.0}
     assert got.keys() == want.keys() and len(want) > 100
     assert all(abs(got[k] - want[k]) < 0.01 for k in want)
+
+
+def test_direction_parts_equal_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from colectivo.operators import variants
+    from colectivo.operators.loops import connected_components
+    from test_growth import shuffled_rows
+
+    rng = np.random.default_rng(3)
+    edges = {(1, t): sorted(rng.choice(90, int(rng.integers(1, 22)), replace=False) + 100 * (t % 5)) for t in range(40)}
+    edges |= {(2, t): [e for e in range(60) if rng.random() > 0.05] for t in range(100, 220)}
+    frame = spark.createDataFrame([(g, t, int(e), True) for (g, t), es in edges.items() for e in es], "line_id int, trace_id int, edge_id int, forward boolean")
+    frame = frame.repartition(4).localCheckpoint()
+    sizes = frame.groupBy("line_id", "trace_id").agg(F.count(F.lit(1)).alias("n"))
+    enough = (F.col("shared") >= 5) | (F.col("shared") / F.col("n") >= 0.3)
+    needs = sizes.withColumn("need", F.expr("cast(least(5, ceil(n * 0.3D)) as int)")).drop("n")
+    links, moved = shuffled_rows(spark, lambda: variants.linked_by_edges(frame, needs, enough, sizes).localCheckpoint())
+    got = {(r.line_id, r.trace_id): r.component for r in connected_components(sizes, links, ["line_id"], "trace_id").collect()}
+    part = {k: k[1] for k in edges}
+    linked = [(a, b) for a in edges for b in edges if a != b and a[0] == b[0] and (s := len(set(edges[a]) & set(edges[b]))) and (s >= 5 or s / len(edges[a]) >= 0.3)]
+    while any(part[a] != part[b] for a, b in linked):
+        for a, b in linked:
+            part[a] = part[b] = min(part[a], part[b])
+    assert got == part and len(set(part.values())) > 5
+    assert moved < 40 * sum(map(len, edges.values()))  # shared edges of all pairs in line 2 alone were 770 000 rows
