@@ -22,6 +22,8 @@ PASSES, WINDOW, BLOCK = 16, 64, 512
 #: Rows of a label's block when all its pairs are compared, from and to; rows of a label's sample; share of links at the
 #: least cosine that the passes may miss.
 PAIR_ROWS, PLAN_ROWS, MISS = (512, 4096), 4096, 0.001
+#: Bytes of vectors in a block of a large label that is compared whole, and its rows that are multiplied at once.
+WHOLE_BYTES, TILE = 16 << 20, 4096
 
 
 def usable(rows: DataFrame, vec: str) -> DataFrame:
@@ -289,10 +291,13 @@ def _all_pairs(least: float):
         right = left if block["i"].iloc[0] == block["j"].iloc[0] else np.flatnonzero(~one)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in range(0, len(left), BLOCK):
-            r, c = np.nonzero(x[left[k : k + BLOCK]] @ x[right].T >= least)
-            on, first = _forest(left[k + r], right[c], len(ids))
-            a.append(on)
-            b.append(first)
+            for m in range(0, len(right), TILE):
+                r, c = np.nonzero(x[left[k : k + BLOCK]] @ x[right[m : m + TILE]].T >= least)
+                if len(r):
+                    rows, at = np.unique(np.concatenate([left[k + r], right[m + c]]), return_inverse=True)
+                    on, first = _forest(at[: len(r)], at[len(r) :], len(rows))
+                    a.append(rows[on])
+                    b.append(rows[first])
         on, first = _forest(np.concatenate(a), np.concatenate(b), len(ids))
         return pd.DataFrame({"a": ids[on], "b": ids[first]})
 
@@ -329,8 +334,17 @@ def _planned(least: float, seed: int, fewest: int):
     return run
 
 
+def _plan(sized: DataFrame, sizes: DataFrame, copies: int, least: float, seed: int, passes: int) -> DataFrame:
+    """``sizes`` with the mean direction and the passes of labels of more than ``copies`` blocks; no passes where all pairs cost less."""
+    kind = sized.schema["label"].dataType.simpleString()
+    large = sized.join(sizes.where(F.col("cuts") > copies), ["label", "d"])
+    sample = large.where(F.pmod(F.xxhash64("id", F.lit("plan")), F.ceil(F.col("n") / PLAN_ROWS)) == 0).select("label", "d", "n", "v")
+    plan = sample.groupBy("label", "d").applyInPandas(_planned(least, seed, passes), f"label {kind}, d int, mean array<double>, passes int")
+    return snapshot(sizes.join(plan, ["label", "d"], "left").withColumn("passes", F.when((F.col("passes") > 0) & (F.col("passes") < F.col("cuts")), F.col("passes"))))
+
+
 def near_vectors(
-    rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", passes: int = PASSES, seed: int = 5, copies: int = PASSES
+    rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", passes: int = PASSES, seed: int = 5, copies: int | None = None
 ) -> DataFrame:
     """``id, n_links, component_id, kept`` for every row of ``rows``.
 
@@ -343,10 +357,13 @@ def near_vectors(
     as a vector, and they share a component if any of them links.
 
     1. Equal vectors of a label become one class with a weight.
-    2. A label of n classes is cut into blocks by hash, of n / 8 rows within 512
-       and 4 096. If it has at most ``copies`` blocks, all pairs of blocks are
-       compared, so no link is missed. A larger label is planned on a sample:
-       as many passes, at least ``passes``, as miss at most 0.1 % of the links
+    2. A label of n classes is cut into blocks by hash, of n / 8 rows, at least
+       512 and at most 16 MB, and all pairs of blocks are compared, whatever
+       the label's size, so no link is missed. The cost grows with the square
+       of a label.
+       A caller that prefers speed may give ``copies``: labels of more blocks
+       (of at most 4 096 rows) are then planned on a sample for sorted passes,
+       at least ``passes``, as many as miss at most 0.1 % of the links
        at the least cosine.
        In each pass its classes are sorted by the 64 signs of random
        projections, taken from the label's mean direction, and each is compared
@@ -369,11 +386,9 @@ def near_vectors(
     sized = classes.select("id", "label", "v", F.size("v").alias("d"))
     low, high = PAIR_ROWS
     sizes = sized.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = snapshot(sizes.withColumn("cuts", F.expr(f"cast(ceil(n / least({high}D, greatest({low}D, n / 8))) as int)")))
-    large = sized.join(sizes.where(F.col("cuts") > copies), ["label", "d"])
-    sample = large.where(F.pmod(F.xxhash64("id", F.lit("plan")), F.ceil(F.col("n") / PLAN_ROWS)) == 0).select("label", "d", "n", "v")
-    plan = sample.groupBy("label", "d").applyInPandas(_planned(least, seed, passes), f"label {kind}, d int, mean array<double>, passes int")
-    plan = snapshot(sizes.join(plan, ["label", "d"], "left").withColumn("passes", F.when((F.col("passes") > 0) & (F.col("passes") < F.col("cuts")), F.col("passes"))))
+    most = f"{high}D" if copies is not None else f"greatest({high}D, {WHOLE_BYTES}D / (8 * d))"
+    sizes = snapshot(sizes.withColumn("cuts", F.expr(f"cast(ceil(n / least({most}, greatest({low}D, n / 8))) as int)")))
+    plan = sizes.withColumn("passes", F.lit(None).cast("int")) if copies is None else _plan(sized, sizes, copies, least, seed, passes)
 
     cut = sized.join(plan.where("passes IS NULL").select("label", "d", "cuts"), ["label", "d"]).withColumn("s", F.pmod(F.xxhash64("id", F.lit("cut")), "cuts").cast("int"))
     cut = cut.select("label", "d", "id", "v", "s", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("t"))
@@ -400,7 +415,7 @@ def near_vectors(
 
     order = ["pass", "label", "key", "id"]
     many = sized.join(plan.where("passes IS NOT NULL"), ["label", "d"])
-    if not many.isEmpty():
+    if copies is not None and not many.isEmpty():
         runs = many.select("id", "label", "v", "mean", "passes").mapInArrow(keyed, f"pass int, label {kind}, key long, id long, x array<double>")
         runs = runs.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", F.xxhash64("label").alias("label"), "id", "x")
         swept = snapshot(runs.mapInArrow(_swept(least), "a long, b long, border int, at int, pass int, label long, id long, x array<double>"))

@@ -184,6 +184,23 @@ def test_near_vectors_dense_label(spark, copies, monkeypatch):
     assert there >= 600 and (found == there if copies else 0.99 * there <= found <= there)
 
 
+def test_near_vectors_whole_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PAIR_ROWS", (40, 40))
+    monkeypatch.setattr(vectors, "WHOLE_BYTES", 40 * 8 * 16)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    monkeypatch.setattr(vectors, "_planned", None)  # more than 16 blocks were planned on a sample before
+    rng = np.random.default_rng(15)
+    x = unit(rng.standard_normal(16) + 0.35 * rng.standard_normal((800, 16)))
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    near = x @ x.T >= 0.98
+    comp = np.arange(len(x))
+    while (low := np.where(near, comp[None], len(x)).min(1)).tolist() != comp.tolist():
+        comp = low
+    got = by_id(vectors.near_vectors(docs), "vec_id")
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == list(zip(near.sum(1) - 1, comp))
+    assert near.sum() > len(x) + 100
+
+
 # -- near-duplicate documents
 
 
