@@ -55,3 +55,20 @@ def test_direction_parts_equal_all_pairs(spark):
             part[a] = part[b] = min(part[a], part[b])
     assert got == part and len(set(part.values())) > 5
     assert moved < 40 * sum(map(len, edges.values()))  # shared edges of all pairs in line 2 alone were 770 000 rows
+
+
+def test_compatible_parts_equal_those_of_all_pairs(spark, monkeypatch):
+    from colectivo.operators import variants
+    from colectivo.operators.loops import connected_components
+
+    lane = lambda a, b, y: [(25.0 * i, y) for i in range(a, b)]
+    tracks = [lane(0, 40 + k, 3.0 * k) for k in range(12)] + [lane(0, 11, 900.0), lane(0, 80, 900.0), lane(40, 110, 900.0), lane(60, 99, 1000.0), lane(0, 30, 5000.0)]
+    rows = [(0, k, [(x / 111_320.0, y / 111_320.0) for x, y in path]) for k, path in enumerate(tracks)]
+    shapes = spark.createDataFrame(rows, "line_id int, trace_id int, path array<struct<lon: double, lat: double>>")
+    all_pairs = variants.compatible_pairs(shapes, ["line_id"]).selectExpr("line_id", "a AS src", "b AS dst").localCheckpoint()
+    want = {r.trace_id: r.component for r in connected_components(shapes, all_pairs, ["line_id"], "trace_id").collect()}
+    tested, judge = [], variants._mutual
+    monkeypatch.setattr(variants, "_mutual", lambda found, *a: tested.append(found.count()) or judge(found, *a))
+    got = {r.trace_id: r.component for r in variants.compatible_parts(shapes, ["line_id"]).collect()}
+    assert got == want and 3 <= len(set(want.values())) < len(tracks)
+    assert sum(tested) < all_pairs.count() / 2  # all pairs were tested before
