@@ -129,3 +129,9 @@ def test_clipping_keeps_no_row_of_each_trace_and_sample(spark):
     assert [[p.lon for p in r.path] for r in clip(3).collect() if r.line_id == 1][0] == lon[1]
     assert [r for r in clip(1).collect() if r.line_id == 1][0].path[-1].lon > lon[1][-1] + 0.0005
     assert moved < 12 * len(points)  # a row of each sample and trace would be about 25 000
+
+
+def test_points_are_numbered_once(spark):
+    points = Tables(spark, "/root/testdata/sf0.001").trace_points
+    out, moved = shuffled_rows(spark, lambda: points.select("trace_id", "point_index").collect())
+    assert len(set(out)) == len(out) > 0 and moved == 0  # numbered anew, each row crossed several shuffles
