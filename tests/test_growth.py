@@ -1,8 +1,11 @@
 """Figures that must grow with the input and not with its pairs, beside brute force."""
 
+import collections
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from colectivo.operators import cleaning, overlap, support, votes
 from colectivo.plans import evaluation
 from fixtures import Tables
@@ -154,3 +157,19 @@ def test_spots_stand_for_their_points(spark):
     facts = lambda r: (r.points, round(r.lon, 9), round(r.lat, 9), round(r.mean_index, 9))
     assert {(r.line_id, r.eps, r.cluster): facts(r) for r in out} == {(r.line_id, r.eps, r.cluster): facts(r) for r in plain} and out
     assert made <= 2 * len(rows)  # a copy of each point for each candidate would be 16 000
+
+
+def test_subscribers_are_dealt_to_many_tasks(spark, monkeypatch):
+    """All reports of one line in one file: no task makes more than a few slices' pairs, and none is lost."""
+    from colectivo.operators import listings
+
+    monkeypatch.setattr(listings, "SLICE", 32)
+    monkeypatch.setattr(listings, "PAIRS_PER_TASK", 4096)
+    reports = spark.createDataFrame([(i, 1, i % 90 if i % 4 else None) for i in range(400)], "report_id long, line_id long, reporter long").coalesce(1)
+    subs = spark.createDataFrame([(1, d) for d in range(100)] + [(1, 5), (2, 7)], "line_id long, device_id long")
+    devices = spark.createDataFrame([(d, "t" if d % 10 else None) for d in range(100)], "device_id long, push_token string")
+    out = listings.subscribers(reports, subs, devices).select("report_id", "device_id", F.spark_partition_id().alias("p")).collect()
+    want = sorted((r, d) for r in range(400) for d in [*range(100), 5] if d % 10 and not (r % 4 and r % 90 == d))
+    assert sorted((r.report_id, r.device_id) for r in out) == want
+    tasks = collections.Counter(r.p for r in out)
+    assert len(tasks) > 5 and max(tasks.values()) < len(want) / 2  # one task made all of them
