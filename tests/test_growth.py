@@ -173,3 +173,23 @@ def test_subscribers_are_dealt_to_many_tasks(spark, monkeypatch):
     assert sorted((r.report_id, r.device_id) for r in out) == want
     tasks = collections.Counter(r.p for r in out)
     assert len(tasks) > 5 and max(tasks.values()) < len(want) / 2  # one task made all of them
+
+
+def test_pair_tests_copy_no_vertices(spark):
+    """Pairs judged by blocks equal those of the rule in SQL, and vertices cross shuffles per block, not per pair."""
+    from colectivo.operators import variants
+    from colectivo.session import snapshot
+
+    rng = random.Random(8)
+    lane = lambda a, b, y, off: [(25.0 * i, y + rng.uniform(-9, 9) + (off if 30 < i < 30 + off / 40 else 0.0)) for i in range(a, b)]
+    tracks = [lane(rng.randint(0, 20), rng.randint(60, 90), 190.0 * (k % 3), rng.choice([0.0, 150.0, 300.0, 600.0])) for k in range(40)]
+    rows = [(0, k, [(x / 111_320.0, y / 111_320.0) for x, y in path]) for k, path in enumerate(tracks)] + [(0, 90, [(0.0, 0.0)]), (0, 91, [])]
+    shapes = snapshot(spark.createDataFrame(rows, "line_id int, trace_id int, path array<struct<lon: double, lat: double>>"))
+    out, moved = shuffled_rows(spark, lambda: variants.compatible_pairs(shapes, ["line_id"]).collect())
+    every = spark.createDataFrame([(0, a, b) for a in range(40) for b in range(40) if a != b], "line_id int, a int, b int")
+    named = lambda name: shapes.where("size(path) > 1").selectExpr("line_id", f"trace_id AS {name}", "path")
+    ref = shapes.selectExpr("line_id", "array_min(transform(path, p -> p.lat)) AS lat").groupBy("line_id").agg(F.min("lat").alias("ref_lat"))
+    one = {(r.a, r.b) for r in variants.stays_with(every, named("a"), named("b"), ref, ["line_id"]).collect()}
+    want = {(a, b) for a, b in one if a < b and (b, a) in one}
+    assert {(r.a, r.b) for r in out} == want and 100 < len(want) < 780
+    assert moved < 10 * 780 < sum(map(len, tracks)) * 40  # a row of each vertex and pair was over 100 000
