@@ -121,7 +121,9 @@ def itineraries(t: Tables):
     place = nodes.select("node_id", "lon", "lat")
     zone = lambda name: fares.resolve_zone(place, t.zones, "lon", "lat", name).select(F.col("node_id").alias(name.replace("zone", "node")), name)
     bus = legs.where("mode = 'bus'").join(zone("from_zone"), "from_node", "left").join(zone("to_zone"), "to_node", "left")
-    priced = fares.leg_fares(bus.select("od_id", "leg", "line_id", "from_zone", "to_zone"), t.lines, fares.resolve_report_zones(t.fare_reports, t.zones)).select("od_id", "leg", "fare")
+    # Only reports of ridden lines can price a leg, so only theirs are placed in zones.
+    reports = t.fare_reports.join(snapshot(legs.where("mode = 'bus'").select("line_id").distinct()), "line_id", "left_semi")
+    priced = fares.leg_fares(bus.select("od_id", "leg", "line_id", "from_zone", "to_zone"), t.lines, fares.resolve_report_zones(reports, t.zones)).select("od_id", "leg", "fare")
     moments = legs.where("line_id IS NOT NULL").select("line_id").distinct().withColumn("at", F.to_timestamp(F.lit("2024-01-10 15:00:00")))
     headway = schedules.current_headway(schedules.infer_schedules(open_lines(t), t.sessions), moments).select("line_id", "headway_min")
     _, totals = ops.itineraries(legs, priced, headway, t.detours, F.to_timestamp(F.lit("1998-06-01 00:00:00")))

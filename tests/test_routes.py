@@ -64,6 +64,20 @@ def test_travel_times_equal_dijkstra(spark):
     assert {r.od_id: r.s for r in legs.groupBy("od_id").agg(F.sum("seconds").alias("s")).collect()}.keys() == want.keys()
 
 
+def test_pairs_between_the_same_places_are_traced_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a", 0.0, 0.0, [1]), ("b", 0.1, 0.0, [1])], "node_id string, lon double, lat double, lines array<int>")
+    stops = spark.createDataFrame([(1, 1, 0, "a", 0.0, 0.0, True, True), (1, 1, 1, "b", 600.0, 9000.0, True, True)],
+                                  "route_id int, line_id int, pos int, node_id string, t double, m double, line_approved boolean, route_confirmed boolean")
+    walks = spark.createDataFrame([], "from_node string, to_node string, metres double, seconds double")
+    pairs = spark.createDataFrame([(k, 0.0, 0.001, 0.1, 0.001) for k in range(300)], "od_id int, olon double, olat double, dlon double, dlat double")
+    merged, merge = [], routing.merge_legs
+    monkeypatch.setattr(routing, "merge_legs", lambda legs, *a: merged.append(legs.count()) or merge(legs, *a))
+    times, legs = routing.travel_times(pairs, nodes, stops, walks)
+    assert {(r.od_id, r["count"]) for r in legs.groupBy("od_id").count().collect()} == {(k, 3) for k in range(300)}
+    assert times.count() == 300 and set(legs.columns) == {"od_id", "leg", "mode", "line_id", "from_node", "to_node", "metres", "seconds"}
+    assert merged == [3]  # the legs of each pair were 900
+
+
 def test_compatible_pairs_equal_plain_rule(spark):
     """Evenly spaced tracks of several kinds: each pair judged vertex by vertex in plain Python."""
     lat = lambda m: m / 111_320.0
