@@ -295,6 +295,41 @@ def test_toxicity_odd(spark):
     assert toxicity.predict(docs.limit(0), chain).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    docs = spark.range(26_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    marks = docs.select("doc_id", F.expr("int(doc_id % 977 = 0)").alias("toxic"))
+    chain = toxicity.fit(docs, marks, ("toxic",))
+    share = 27 / 26_000
+    assert 1 / (1 + np.exp(-chain.models[0].bias)) == pytest.approx(share, rel=1e-6)
+
+
+def test_toxicity_fit_is_the_optimum(spark):
+    rows, labels = toxic_rows(random.Random(17), 700)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int, poor int")
+    model = toxicity.fit(docs, marks, ("toxic",)).models[0]
+    owner, feature = toxicity._text_features(pa.array([t for _, t in rows]))
+    x = np.zeros((len(rows), toxicity.FEATURES))
+    x[owner, feature] = 1
+    y = np.array([t for _, t, _ in labels], float)
+    kept = np.flatnonzero((x.sum(0) >= 3) & (np.abs(x.T @ (y - y.mean())) > 0))  # fewer than SCREENED here
+    x = np.column_stack([np.ones(len(y)), x[:, kept]])
+    penalty = np.r_[0.0, np.full(len(kept), toxicity.PENALTY)]
+
+    def objective(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).mean() + penalty @ np.abs(w)
+
+    w = ahead = np.zeros(x.shape[1])
+    step, t = 4 / np.linalg.norm(x.T @ x / len(y), 2), 1.0
+    for _ in range(6000):  # accelerated proximal gradients
+        new = ahead - step * x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / len(y)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, w = new + (last - 1) / t * (new - w), new
+    assert objective(np.r_[model.bias, model.dense()[kept]]) <= objective(w) * 1.001
+
+
 # -- repeated strings
 
 
