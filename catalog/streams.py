@@ -1,18 +1,23 @@
 """Streaming queries over the tables, run to their end with the available-now trigger."""
 
 import uuid
+from math import ceil
 
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.lifecycle import LIMIT
 from colectivo.operators import cleaning
-from colectivo.session import checkpoint_root
+from colectivo.session import checkpoint_root, snapshot, state_on_disk
 from colectivo.streaming import notifications, uploads
 from colectivo.streaming import votes as vote_stream
 from fixtures import Tables, with_tables
 
 
+#: Rows of a file that a stream reads: a span of a large table comes in as many tasks as it fills.
+FILE_ROWS = 250_000
+
+
 def folder(t: Tables, name: str) -> str:
     return f"{checkpoint_root(t.spark)}/colectivo-{name}-{uuid.uuid4().hex}"
 
@@ -20,23 +25,25 @@ def folder(t: Tables, name: str) -> str:
 def feed(t: Tables, df, at: str, build, sink=None, mode: str = "append", spans: int = 6, drop=()):
     """Send ``df`` through a stream in micro-batches by time, with a restart from its checkpoint half way.
 
-    The table is cut at quantiles of ``at`` into spans of two files each, and
-    each span is a micro-batch. The query is stopped after half of the spans and
+    The table is read once and cut at quantiles of ``at`` into spans of two
+    files each, or as many as give a file ``FILE_ROWS`` rows, and each span is a
+    micro-batch. The query is stopped after half of the spans and
     started anew for the others, so its state crosses batches and runs.
     ``build`` makes the stream's result; it is written to files, which come
     back as a table, or goes to ``sink``, a function for single micro-batches.
     """
     source, state, out = (folder(t, name) for name in ("input", "state", "output"))
-    rows = df.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    cuts = rows.agg(F.percentile_approx("_us", [i / spans for i in range(1, spans)], 10_000)).first()[0]
+    rows = snapshot(df.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))))
+    cuts, n = rows.agg(F.percentile_approx("_us", [i / spans for i in range(1, spans)], 10_000), F.count(F.lit(1))).first()
+    files = max(2, ceil(n / spans / FILE_ROWS))
     low = None
     for i, high in enumerate([*cuts, None]):
         part = rows.where(F.col("_us") >= low) if low is not None else rows
         part = part.where(F.col("_us") < high) if high is not None else part
-        part.drop("_us", *drop).repartition(2).write.mode("append").parquet(source)
+        part.drop("_us", *drop).repartition(files).write.mode("append").parquet(source)
         low = high
         if i + 1 in (spans // 2, spans):
-            stream = build(t.spark.readStream.schema(df.drop(*drop).schema).option("maxFilesPerTrigger", 2).parquet(source))
+            stream = build(t.spark.readStream.schema(df.drop(*drop).schema).option("maxFilesPerTrigger", files).parquet(source))
             writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
             writer = writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", out)
             writer.start().awaitTermination()
@@ -92,7 +99,8 @@ def vote_events(t: Tables):
     """Votes changed in later micro-batches replace the earlier ones in the tallies."""
     events = t.edge_vote_events.selectExpr("edge_id AS route_edge_id", "device_id", "vote", "cast(created_at AS timestamp) AS created_at")
     path = folder(t, "votes")
-    feed(t, events, "created_at", vote_stream.latest_votes, vote_stream.append_changes(path), mode="update")
+    with state_on_disk(t.spark):  # a vote stays in the state for ever
+        feed(t, events, "created_at", vote_stream.latest_votes, vote_stream.append_changes(path), mode="update")
     return vote_stream.current_tallies(t.spark.read.parquet(path)).select("route_edge_id", "votes_for", "votes_against")
 
 

@@ -193,3 +193,31 @@ def test_pair_tests_copy_no_vertices(spark):
     want = {(a, b) for a, b in one if a < b and (b, a) in one}
     assert {(r.a, r.b) for r in out} == want and 100 < len(want) < 780
     assert moved < 10 * 780 < sum(map(len, tracks)) * 40  # a row of each vertex and pair was over 100 000
+
+
+def test_streams_read_their_table_once(spark):
+    from catalog import streams
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        read.add(1)
+        return i
+
+    rows = spark.range(600).select(F.udf(seen, "long")("id").alias("id"), F.timestamp_seconds(F.col("id")).alias("at"))
+    out = streams.feed(Tables(spark, ""), rows, "at", lambda stream: stream)
+    assert sorted(r["id"] for r in out.collect()) == list(range(600))
+    assert read.value == 600  # 4 800 before: for the quantiles and for each span
+    files = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert "RocksDB" not in files  # the state of votes alone is kept on disk
+
+
+def test_large_spans_of_a_stream_come_in_more_tasks(spark, monkeypatch):
+    from catalog import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 20)
+    rows = spark.range(600).select("id", F.timestamp_seconds(F.col("id")).alias("at"))
+    sizes = []
+    streams.feed(Tables(spark, ""), rows, "at", lambda stream: stream, lambda batch, number: sizes.append((batch.count(), batch.rdd.getNumPartitions())))
+    assert sum(n for n, _ in sizes) == 600 and len(sizes) == 6
+    assert all(abs(n - 100) <= 2 for n, _ in sizes)
