@@ -195,6 +195,32 @@ def test_pair_tests_copy_no_vertices(spark):
     assert moved < 10 * 780 < sum(map(len, tracks)) * 40  # a row of each vertex and pair was over 100 000
 
 
+def test_slices_of_subscribers_grow_with_the_pairs():
+    """Each row is copied to every slice of the other side; 60 times sf0.1 has about 6e6 reports and 8.2e5 subscribers on five lines."""
+    from colectivo.operators.listings import slices
+
+    lines, people = 1_200_000, 164_000
+    tasks, rows = slices(5.0 * lines * people)
+    copies = 5 * (lines * math.ceil(people / rows) + people * math.ceil(lines / rows))
+    assert copies < 200_000_000  # 964 000 000 with slices of 2 048 rows
+    assert rows * rows <= 5.0 * lines * people / tasks
+    assert slices(1000.0) == (1, 2048)
+
+
+def test_subscribers_are_whole_in_larger_slices(spark, monkeypatch):
+    from colectivo.operators import listings
+
+    monkeypatch.setattr(listings, "SLICE", 3)
+    monkeypatch.setattr(listings, "PAIRS_PER_TASK", 200)
+    monkeypatch.setattr(listings, "MOST_TASKS", 8)
+    reports = spark.range(60).selectExpr("id AS report_id", "id % 2 AS line_id", "id % 7 AS reporter")
+    subs = spark.range(80).selectExpr("id % 2 AS line_id", "id AS device_id")
+    devices = spark.range(80).selectExpr("id AS device_id", "IF(id % 5 = 0, NULL, 't') AS push_token")
+    got = sorted((r["report_id"], r["device_id"]) for r in listings.subscribers(reports, subs, devices).collect())
+    assert listings.slices(2400.0)[1] > 3
+    assert got == sorted((r, d) for r in range(60) for d in range(80) if r % 2 == d % 2 and d % 5 and d != r % 7)
+
+
 def test_streams_read_their_table_once(spark):
     from catalog import streams
 
